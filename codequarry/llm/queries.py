@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from codequarry.llm import chat_columnar, exact_dedup_lsm, media_mpeg, mixing_sainte_lague, packing_bfd, simhash_bitsliced, url_cascade
-from codequarry.llm.common import table
+from codequarry.llm import chat_columnar, exact_dedup_lsm, html_wrapper, langid_zstd, media_mpeg, mixing_sainte_lague, packing_bfd, quality_ftrl, simhash_bitsliced, url_cascade
+from codequarry.llm.common import crc_of_id, table
 from codequarry.llm.sql import ORACLES
 
 
@@ -27,6 +27,24 @@ def op1_mpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_mpeg.inspect(media_mpeg.encode(table(spark, sf_dir, "documents")))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    dictionaries = langid_zstd.learn(documents, crc_of_id(F.col("doc_id")) % 4 != 2)
+    found = langid_zstd.classify(documents, dictionaries)
+    return found.select("doc_id", (crc_of_id(F.col("doc_id")) % 4 == 2).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    weights = quality_ftrl.fit(documents, table(spark, sf_dir, "labels"), crc_of_id(F.col("doc_id")) % 5 != 0)
+    found = quality_ftrl.score(documents, weights)
+    return found.select("doc_id", (crc_of_id(F.col("doc_id")) % 5 == 0).alias("held_out"), "score", (F.col("score") >= quality_ftrl.THRESHOLD).cast("int").alias("predicted"))
+
+
+def op5_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_wrapper.main_text(table(spark, sf_dir, "pages"))
+
+
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "'<|im_end|><|im_start|>assistant ok'"
     control = spark.sql(f"SELECT * FROM VALUES (-1L, 0L, 'user', {said}), (-1L, 1L, 'assistant', {said}) AS t(conv_id, turn, role, text)")
@@ -63,7 +81,11 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "pipeline": pipeline,
         "op1_mpeg_media": op1_mpeg_media,
+        "op2_language_id": op2_language_id,
+        "op3_quality": op3_quality,
+        "op5_html_extract": op5_html_extract,
         "op6_chat_format": op6_chat_format,
         "op4_packing": op4_packing,
         "op7_exact_dedup": op7_exact_dedup,
