@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from codequarry.llm.common import map_batches
 
 SAMPLE_ROWS, SAMPLE_BYTES, DICTIONARY_BYTES = 160, 2048, 112_640
-BLOCK, LEVEL, MARGIN, TEMPERATURE = 4096, 3, 0.01, 8.0
+BLOCK, LEVEL, MARGIN, TEMPERATURE = 4096, 6, 0.01, 8.0
 _OTHER = re.compile(r"[\W\d_]+")
 
 
