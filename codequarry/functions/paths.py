@@ -56,7 +56,7 @@ def requested_module(level: Column, module: Column, imported: Column, package: C
     """The module that an import asks for; null where it asks for none or reaches too far up."""
     parts = F.split(package, "[.]")
     base = F.when(package.isNotNull() & (level - 1 < F.size(parts)), F.slice(parts, F.lit(1), F.greatest(F.size(parts) - (level - 1), F.lit(0))))
-    last = F.coalesce(module, F.when(imported != "*", imported))
+    last = F.coalesce(F.when(module != "", module), imported)
     relative = F.when(base.isNotNull(), F.concat_ws(".", F.array_join(base, "."), last))
     return F.when(level == 0, module).otherwise(relative)
 
