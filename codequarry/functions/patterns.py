@@ -105,6 +105,8 @@ def gitignore_rule(line: str, literal_start: bool = False) -> Rule | None:
 
 
 def _segment(part: str) -> str:
+    if part == "*":
+        return "[^/]+"
     out, at = [], 0
     while at < len(part):
         char = part[at]

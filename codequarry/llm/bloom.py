@@ -52,8 +52,14 @@ def constant(words: list[int]) -> Column:
 
 
 def contains(words: list[int], key: Column, hashes: int, seed: int = 0) -> Column:
-    array, found = constant(words), F.lit(True)
-    for place in _places(key, 64 * len(words), hashes, seed):
-        word = F.get(array, F.shiftright(place, 6).cast("int"))
-        found = found & (F.getbit(word, place.bitwiseAND(F.lit(63).cast("long")).cast("int")) == 1)
-    return found
+    array = constant(words)
+
+    def found(bound: Column) -> Column:
+        out = F.lit(True)
+        for place in _places(bound, 64 * len(words), hashes, seed):
+            word = F.get(array, F.shiftright(place, 6).cast("int"))
+            out = out & (F.getbit(word, place.bitwiseAND(F.lit(63).cast("long")).cast("int")) == 1)
+        return out
+
+    # bound as a lambda's variable, the key (a digest of a whole text, say) is computed once and not for each hash
+    return F.exists(F.array(key), found)
