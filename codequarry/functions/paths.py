@@ -28,28 +28,33 @@ def policy_path(path: Column, prefix: str | None) -> Column:
     return F.concat_ws("/", F.lit(clean), path) if clean else path
 
 
-def _python_parts(path: Column) -> Column:
-    """Dotted parts of a .py path, without a leading src and without __init__; null for other paths."""
-    parts = F.split(F.regexp_replace(path, r"(?i)\.py$", ""), "/")
-    parts = F.when((F.element_at(parts, -1) == "__init__"), F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
-    inner = F.when((F.size(parts) > 1) & (F.get(parts, 0) == "src"), F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0)))).otherwise(parts)
-    return F.when(F.lower(path).endswith(".py"), inner)
+def _python_stem(path: Column) -> Column:
+    """A .py path without its ending; null for other paths.
+
+    Names are cut by patterns that mention their input once: conditions on these
+    columns are pushed below joins, and an input used often would be copied often.
+    """
+    return F.regexp_extract(F.when(F.lower(path).endswith(".py"), path), r"(?si)^(.*)\.py\z", 1)
+
+
+def _dotted(slashed: Column) -> Column:
+    return F.nullif(F.translate(slashed, "/", "."), F.lit(""))
 
 
 def module_name(path: Column) -> Column:
-    name = F.array_join(_python_parts(path), ".")
-    return F.when(name != "", name)
+    """The dotted name, without a leading src and without __init__."""
+    own = F.regexp_replace(_python_stem(path), r"(?:^|/)__init__\z", "")
+    return _dotted(F.regexp_replace(own, r"^src/", ""))
 
 
 def is_package(path: Column) -> Column:
-    return F.regexp_replace(basename(path), r"(?i)\.py$", "") == "__init__"
+    return F.regexp_replace(basename(path), r"(?i)\.py\z", "") == "__init__"
 
 
 def package_name(path: Column) -> Column:
-    parts = _python_parts(path)
-    own = F.when(is_package(path), parts).otherwise(F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0))))
-    name = F.array_join(own, ".")
-    return F.when(name != "", name)
+    """The dotted name of the package that relative imports start from."""
+    inner = F.regexp_replace(_python_stem(path), r"^src/(?!__init__\z)", "")
+    return _dotted(F.regexp_replace(inner, r"(?:^|/)[^/]*\z", ""))
 
 
 def requested_module(level: Column, module: Column, imported: Column, package: Column) -> Column:

@@ -20,8 +20,8 @@ FROM documents
 """
 
 PATHS_FROM_PAGES = """
-SELECT page_id, rtrim(substr(bare, strpos(bare, '/') + 1), '/') AS path FROM (
-  SELECT page_id, split_part(split_part(substr(url, strpos(url, '://') + 3), '?', 1), '#', 1) AS bare FROM pages WHERE url LIKE '%://%/%'
+SELECT page_id, regexp_replace(substr(bare, instr(bare, '/') + 1), '/+$', '') AS path FROM (
+  SELECT page_id, split_part(split_part(substr(url, instr(url, '://') + 3), '?', 1), '#', 1) AS bare FROM pages WHERE url LIKE '%://%/%'
 ) AS b
 """
 
@@ -45,7 +45,7 @@ SELECT {_MODULE.replace("s_", "a.s_")} AS path, CAST(l_orderkey * 10 + l_linenum
     ELSE 'n' || CAST(b.s_nationkey AS VARCHAR(20)) || '.s' || CAST(b.s_suppkey AS VARCHAR(20)) END AS module,
   CASE WHEN l_linenumber % 4 = 0 AND l_partkey % 2 = 0 THEN NULL ELSE 's' || CAST(b.s_suppkey AS VARCHAR(20)) END AS imported_name,
   CASE WHEN l_partkey % 3 = 0 THEN 'alias' END AS alias, CAST(l_linenumber % 4 AS INT) AS level, CASE WHEN l_partkey % 4 = 0 THEN 'g' END AS scope, CAST(l_linenumber AS INT) AS line
-FROM lineitem JOIN supplier a ON a.s_suppkey = l_suppkey JOIN (SELECT *, row_number() OVER (ORDER BY s_suppkey) - 1 AS place, count(*) OVER () AS n FROM supplier) b ON b.place = l_partkey % b.n
+FROM lineitem JOIN supplier a ON a.s_suppkey = l_suppkey JOIN (SELECT *, row_number() OVER (ORDER BY s_suppkey) - 1 AS place FROM supplier) b ON b.place = l_partkey % (SELECT count(*) FROM supplier)
 """
 
 #: template: files (name, text) and the outcome of each call (file, line, target, status, proof, shadowed_by, dynamic_kind, resolved)
