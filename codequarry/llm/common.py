@@ -54,6 +54,14 @@ def map_batches(
     return frame.mapInArrow(function, schema)
 
 
+def fresh(frame: DataFrame, *names: str) -> list[str]:
+    """``names`` with as many underscores in front as keep them apart from the columns of ``frame``."""
+    known, front = {c.lower() for c in frame.columns}, ""
+    while known & {f"{front}{n}".lower() for n in names}:
+        front += "_"
+    return [front + n for n in names]
+
+
 def crc_of_id(doc_id: Column) -> Column:
     """CRC-32 of a document number written as decimal text."""
     return F.crc32(doc_id.cast("string").cast("binary"))

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codequarry.llm import bloom
-from codequarry.llm.common import materialise, written
+from codequarry.llm.common import fresh, materialise, written
 
 WHITE = " \t\n\x0b\x0c\r"
 
@@ -102,12 +102,15 @@ def keep_first(documents: DataFrame, id_column: str = "doc_id", text_column: str
     second step leave one row for each number and normalised text.
     """
     found = materialise(duplicates(documents, id_column, text_column))
-    stay = found.where("kept").select(F.col("doc_id").alias("stay_id"), F.col("sha").alias("stay_sha"))
+    stay_id, stay_sha, own_sha, points = fresh(documents, "stay_id", "stay_sha", "own_sha", "points")
+    stay = found.where("kept").select(F.col("doc_id").alias(stay_id), F.col("sha").alias(stay_sha))
     repeated = not found.groupBy("doc_id").count().where("count > 1").isEmpty()
-    same = F.col(id_column).eqNullSafe(F.col("stay_id"))
+    same = F.col(id_column).eqNullSafe(F.col(stay_id))
     if not repeated:
         return documents.join(stay, same, "left_semi")
     sha = F.unhex(F.sha2(normalised(F.col(text_column)).cast("binary"), 256))
-    left = documents.withColumn("__sha", sha)
-    kept = left.join(stay, same & (F.col("__sha") == F.col("stay_sha")), "left_semi")
-    return kept.withColumn("__points", -F.coalesce(F.char_length(text_column), F.lit(0))).orderBy("__points").dropDuplicates([id_column, "__sha"]).drop("__sha", "__points")
+    kept = documents.withColumn(own_sha, sha).join(stay, same & (F.col(own_sha) == F.col(stay_sha)), "left_semi")
+    most = kept.withColumn(points, F.coalesce(F.char_length(text_column), F.lit(0)))
+    # the longest row of each number and text: one partial aggregation, whatever the number of copies
+    best = most.groupBy(id_column, own_sha).agg(F.max_by(F.struct(*[F.col(f"`{c}`") for c in documents.columns]), points).alias(stay_id))
+    return best.select(f"{stay_id}.*")

@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codequarry.llm.common import WORD_PATTERN, materialise
+from codequarry.llm.common import WORD_PATTERN, fresh, materialise
 
 #: A table of sources up to this many rows is broadcast; a larger one is joined by shuffle.
 BROADCAST_SOURCES = 20_000
@@ -141,19 +141,21 @@ def mixed_texts(documents: DataFrame, id_column: str = "doc_id", text_column: st
     """
     plan = mix(documents, id_column=id_column, text_column=text_column, source_column=source_column, **options).where("taken > 0")
     # rows with the same number and size share one of their plans, so that no row is doubled
-    plan = plan.select(F.col("doc_id").alias("__id"), F.col("size").alias("__size"), *[F.col(n).alias(f"__{n}") for n in ("passes", "from1", "to1", "from2", "to2")]).dropDuplicates(["__id", "__size"])
+    names = fresh(documents, "plan_id", "plan_size", "passes", "from1", "to1", "from2", "to2", "mixed_text")
+    plan_id, plan_size, passes, from1, to1, from2, to2, mixed_text = names
+    plan = plan.select(*[F.col(c).alias(n) for c, n in zip(("doc_id", "size", "passes", "from1", "to1", "from2", "to2"), names, strict=False)]).dropDuplicates([plan_id, plan_size])
     text = F.col(text_column)
     size = F.coalesce(F.regexp_count(text, F.lit(WORD_PATTERN)), F.lit(0))
     words = F.regexp_extract_all(text, F.lit(f"({WORD_PATTERN})"), F.lit(1))
 
     def cut(a: str, b: str) -> Column:
-        whole = (F.col(a) == 0) & (F.col(b) == F.col("__size"))
+        whole = (F.col(a) == 0) & (F.col(b) == F.col(plan_size))
         part = F.array_join(F.slice(words, (F.col(a) + 1).cast("int"), (F.col(b) - F.col(a)).cast("int")), " ")
         return F.when(F.col(b) > F.col(a), F.when(whole, text).otherwise(part))
 
-    parts = F.concat(F.array_repeat(text, F.col("__passes").cast("int")), F.array(cut("__from1", "__to1"), cut("__from2", "__to2")))
-    joined = documents.join(plan, F.col(id_column).eqNullSafe(F.col("__id")) & (size == F.col("__size")))
-    made = joined.withColumn("__text", F.array_join(F.filter(parts, lambda p: p.isNotNull()), "\n\n")).withColumn(text_column, F.col("__text"))
+    parts = F.concat(F.array_repeat(text, F.col(passes).cast("int")), F.array(cut(from1, to1), cut(from2, to2)))
+    joined = documents.join(plan, F.col(id_column).eqNullSafe(F.col(plan_id)) & (size == F.col(plan_size)))
+    made = joined.withColumn(mixed_text, F.array_join(F.filter(parts, lambda p: p.isNotNull()), "\n\n")).withColumn(text_column, F.col(mixed_text))
     if "n_chars" in documents.columns:
         made = made.withColumn("n_chars", F.char_length(text_column).cast(dict(documents.dtypes)["n_chars"]))
     return made.select(*documents.columns)
