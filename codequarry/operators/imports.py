@@ -16,9 +16,9 @@ def module_index(files: DataFrame) -> DataFrame:
 
 def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
     """Adds requested_modules, status, target_path and candidate_paths to the imports of python files."""
-    python = files.where("language = 'python'").select("path").distinct()
-    package = paths.package_name(F.col("path"))
-    asked = imports.join(python, "path", "left_semi").withColumn("__package", package)
+    # a file's package is found once, not once for each of its imports
+    python = files.where("language = 'python'").select("path").distinct().withColumn("__package", paths.package_name(F.col("path")))
+    asked = imports.join(python, "path")
     invalid = paths.invalid_relative(F.col("level"), F.col("__package"))
     asked = asked.withColumn("__invalid", invalid)
     module = paths.requested_module(F.col("level"), F.col("module"), F.col("imported_name"), F.col("__package"))
