@@ -1,9 +1,10 @@
 """Main text of pages by wrapper induction.
 
-Pages of a host share a template.  A few of them, the pivots, are taken by hash;
-their DOM trees (runs of like siblings folded into one node) are aligned by
-simple tree matching.  Nodes that match in all pivots with equal text are
-constant: the template.  The rest are slots.  A page is aligned with its host's
+Pages of a host share a template.  A few different ones, the pivots, are taken by
+hash; all different pages of the host are aligned with each pivot by simple tree
+matching of DOM trees (runs of like siblings folded into one node).  Nodes that
+match with equal text in ``CONSTANT`` of the pages are constant: the template.
+The rest are slots.  The pivot with the most constant nodes gives the wrapper.  A page is aligned with its host's
 wrapper; a node that matches a constant node and has its text is template, all
 else in the page's body is content.
 
@@ -37,6 +38,8 @@ from pyspark.sql import functions as F
 from codequarry.llm.common import map_batches, materialise
 
 PIVOTS, DEPTH = 4, 256
+#: Part of a host's different pages that a template's node is found in: a few odd pages do not undo it.
+CONSTANT = (9, 10)
 #: Wrappers of all hosts together up to this many characters are broadcast; beyond, they are joined by shuffle.
 BROADCAST_CHARS = 8 << 20
 
@@ -277,17 +280,70 @@ def _blocks(region: Node, template: set[int], blocks: list[str]) -> None:
     flush()
 
 
+def _nodes(tree: Folded) -> list[Folded]:
+    """All nodes of a tree, in one order for equal trees."""
+    out, todo = [], [tree]
+    while todo:
+        node = todo.pop()
+        out.append(node)
+        todo.extend(node[2])
+    return out
+
+
+@lru_cache(maxsize=256)
+def _pivot(html: str) -> tuple[Folded, dict[int, int]]:
+    tree = fold(parse(html))
+    return tree, {id(node): k for k, node in enumerate(_nodes(tree))}
+
+
 def induce_wrappers(pages: DataFrame) -> DataFrame:
     """(host, wrapper) from (host, page_id, html), for hosts that have one."""
-    draw = Window.partitionBy("host").orderBy("draw", "html")
+    draw = Window.partitionBy("host").orderBy("draw")
     rows = pages.select("host", "html", F.xxhash64("html", F.lit(11)).alias("draw")).where("html is not null and host <> ''")
-    pivots = rows.withColumn("place", F.row_number().over(draw)).where(F.col("place") <= PIVOTS)  # limited in each task before the shuffle
+    different = materialise(rows.dropDuplicates(["host", "draw"]))
+    placed = different.withColumn("place", F.row_number().over(draw)).where(F.col("place") <= PIVOTS)  # limited in each task before the shuffle
+    pivots = materialise(placed.select("host", "place", F.col("html").alias("pivot")))
+    size = pivots.agg(F.sum(F.length("pivot") + F.length("host"))).first()[0] or 0
 
-    def run(key: tuple, table: pa.Table) -> pa.Table:
-        made = induce(table.sort_by("place")["html"].to_pylist())
-        return pa.table({"host": pa.array([key[0].as_py()] if made else [], pa.string()), "wrapper": pa.array([made] if made else [], pa.string())})
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sums: dict[tuple, list] = {}
+            last = page = None
+            for host, place, pivot, html in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                tree, number = _pivot(pivot)
+                held = sums.setdefault((host, place), [0, [0] * len(number)])
+                if html != last:
+                    last, page = html, fold(parse(html))
+                held[0] += 1
+                for known, found in match_trees(tree, page)[1]:
+                    held[1][number[id(known)]] += known[1] == found[1]
+            made = [(h, p, n, c) for (h, p), (n, c) in sums.items()]
+            types = [pa.string(), pa.int32(), pa.int64(), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array([m[k] for m in made], t) for k, t in enumerate(types)], ["host", "place", "pages", "counts"])
 
-    return pivots.groupBy("host").applyInArrow(run, "host string, wrapper string")
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        best = (0, "")
+        by_place: dict[int, list] = {}
+        for place, n, counts in zip(*(table[c].to_pylist() for c in ("place", "pages", "counts")), strict=True):
+            held = by_place.setdefault(place, [0, [0] * len(counts)])
+            held[0] += n
+            held[1] = [a + b for a, b in zip(held[1], counts, strict=True)]
+        html = {p: h for p, h in zip(table["place"].to_pylist(), table["pivot"].to_pylist(), strict=True) if h is not None}
+        for place, (n, counts) in sorted(by_place.items()):
+            if n > 1:
+                tree = fold(parse(html[place]))
+                constant = [c * CONSTANT[1] >= n * CONSTANT[0] for c in counts]
+                for node, stays in zip(_nodes(tree), constant, strict=True):
+                    if not stays:
+                        node[1] = None
+                if sum(constant) > best[0] or not best[1]:
+                    plain = lambda n: [n[0], n[1], [plain(k) for k in n[2]]]
+                    best = (sum(constant), json.dumps(plain(tree), separators=(",", ":")))
+        return pa.table({"host": pa.array([key[0].as_py()] if best[1] else [], pa.string()), "wrapper": pa.array([best[1]] if best[1] else [], pa.string())})
+
+    pairs = different.join(F.broadcast(pivots) if size <= BROADCAST_CHARS else pivots, "host").select("host", "place", "pivot", "html")
+    counts = map_batches(pairs, count, "host string, place int, pages long, counts array<long>")
+    return counts.join(pivots, ["host", "place"]).groupBy("host").applyInArrow(run, "host string, wrapper string")
 
 
 def main_text(pages: DataFrame, id_column: str = "page_id", url_column: str = "url", html_column: str = "html") -> DataFrame:
