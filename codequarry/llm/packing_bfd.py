@@ -10,10 +10,13 @@ open window that a piece fits into; pieces come in decreasing length.
 Ids equal those of the ``tokenizers`` library for the given file.  The file's
 vocabulary is handed to ``tiktoken``'s encoder, which is several times faster,
 only if its merges are in rank order (then both define the same merges); texts
-that hold an added token's string, and all texts under any other file, go
-through ``tokenizers`` itself.
+that hold an added token's string, all texts under any other file, and runs of
+``LONG_SPACE`` white-space characters and more, for which that encoder's stack is
+too small, go through ``tokenizers`` itself.
 
-Defined results: a null text is empty and gives one piece, the end id alone; an
+Defined results: a null text is empty and gives one piece, the end id alone; a
+text of any length, and one of white space or a single word alone, has the ids
+that ``tokenizers`` gives it; an
 empty table gives no rows; repeated rows and repeated document numbers are
 packed like any other row; only the two named columns are read.
 """
@@ -22,6 +25,7 @@ from __future__ import annotations
 
 import json
 import math
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -36,6 +40,12 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 PACKED = PIECES + ", sequence_id long, offset long"
 
 
+LONG_SPACE = 1 << 16
+#: The characters that Unicode calls white space.
+_SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_LONG_SPACE = re.compile(f"[{_SPACE}]{{{LONG_SPACE},}}+")
+
+
 class Encoder:
     """Token ids of a tokenizer file, without special tokens added."""
 
@@ -51,7 +61,17 @@ class Encoder:
     def ids(self, text: str) -> np.ndarray:
         if self.fast is None or any(token in text for token in self.added):
             return np.array(self.exact.encode(text, add_special_tokens=False).ids, dtype="<u4")
-        return np.array(self.fast.encode_ordinary(text), dtype="<u4")
+        if len(text) < LONG_SPACE:
+            return np.array(self.fast.encode_ordinary(text), dtype="<u4")
+        out: list[int] = []
+        at = 0
+        for run in _LONG_SPACE.finditer(text):
+            # the last character of a run belongs to the word that follows
+            end = run.end() if run.end() == len(text) else run.end() - 1
+            out += self.fast.encode_ordinary(text[at : run.start()])
+            out += self.exact.encode(text[run.start() : end], add_special_tokens=False).ids
+            at = end
+        return np.array(out + self.fast.encode_ordinary(text[at:]), dtype="<u4")
 
 
 def _ranked(spec: dict):
@@ -61,7 +81,7 @@ def _ranked(spec: dict):
     model, before = spec.get("model") or {}, spec.get("pre_tokenizer") or {}
     plain = model.get("type") == "BPE" and not (model.get("dropout") or model.get("byte_fallback") or model.get("ignore_merges"))
     level = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
-    if not plain or not level or spec.get("normalizer") or model.get("unk_token") and model["unk_token"] in model["vocab"] and not model["vocab"]:
+    if not plain or not level or spec.get("normalizer"):
         return None
     visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
     hidden = [b for b in range(256) if b not in visible]

@@ -112,6 +112,14 @@ def test_packing_awkward_rows(awkward, nothing):
     assert packing_bfd.pack(nothing, TOKENIZER).count() == 0
 
 
+@pytest.mark.parametrize(
+    "text", ["a" + " " * 2_000_000 + "x", " \n" * 70_000, "\u2003" * 70_000 + "\n!", "w" * 1_000_000, ("b" + "\t" * 66_000 + "\x1c") * 3 + " 's", "x" + " " * 65_535 + "y" + " " * 65_536 + "\n" * 65_537 + "z"]
+)
+def test_ids_of_very_long_runs(text):
+    encoder = packing_bfd.encoder(TOKENIZER)
+    assert encoder.ids(text).tolist() == encoder.exact.encode(text, add_special_tokens=False).ids
+
+
 @pytest.mark.parametrize("window", [7, 64, 2048])
 def test_best_fit_equals_a_plain_search(window):
     lengths = np.sort(np.random.default_rng(window).integers(1, window + 1, 400))[::-1]
