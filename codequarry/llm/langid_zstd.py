@@ -6,14 +6,21 @@ with every dictionary; the language whose sizes sum to the least wins, and of
 equal sums the one more frequent in the sample's population.  Small blocks keep
 the dictionary's part in the size alive over the whole of a long text.
 
-The dictionaries are the only thing that is fitted: ``SAMPLE_ROWS`` rows of each
-language by hash order, ``SAMPLE_BYTES`` of each, ``DICTIONARY_BYTES`` in all.
-
-Defined results: ``und`` with score 0 for null, for texts without a letter, and
-where nothing was learned; ``rejected`` marks these and narrow margins (their
-best guess is still given); rows without text or language teach nothing;
-repeated rows are judged alike; an empty table gives no rows; only the named
-columns are read.
+The dictionaries are the only thing that is fitted, on a bounded sample:
+``SAMPLE_ROWS`` different texts of each language by hash order, for the
+``LANGUAGES`` most frequent languages (every worker holds all dictionaries).
+A dictionary has ``DICTIONARY_BYTES``, dealt evenly: short texts give all they
+have, and each longer one the same number of bytes, in slices of
+``SLICE_BYTES`` spread evenly over its whole length.  Texts are cut where they
+lie; only slices move, and each dictionary is put together in an executor.
+
+``rejected`` marks margins below ``MARGIN`` of the least size.  ``lang_pred`` is
+the best guess all the same, and ``lang_accepted`` is ``und`` for what is rejected.
+
+Defined results: ``und`` with score 0, rejected, for null, for texts without a
+letter, and where nothing was learned; rows without text, letters or language
+teach nothing; rows that say the same teach once; repeated rows are judged alike;
+an empty table gives no rows; only the named columns are read.
 """
 
 from __future__ import annotations
@@ -27,9 +34,9 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codequarry.llm.common import map_batches
+from codequarry.llm.common import map_batches, materialise
 
-SAMPLE_ROWS, SAMPLE_BYTES, DICTIONARY_BYTES = 160, 2048, 112_640
+SAMPLE_ROWS, LANGUAGES, DICTIONARY_BYTES, SLICE_BYTES = 160, 256, 112_640, 352
 BLOCK, LEVEL, MARGIN, TEMPERATURE = 4096, 6, 0.01, 8.0
 _OTHER = re.compile(r"[\W\d_]+")
 
@@ -39,18 +46,52 @@ def letters(text: str | None) -> bytes:
     return _OTHER.sub(" ", (text or "").lower()).strip().encode("utf-8", "replace")
 
 
+def evenly(sizes: list[int], total: int) -> list[int]:
+    """How much each gives so that together they give ``total``: all alike, or all it has."""
+    given, left = [0] * len(sizes), total
+    for done, k in enumerate(sorted(range(len(sizes)), key=lambda k: (sizes[k], k))):
+        given[k] = min(sizes[k], left // (len(sizes) - done))
+        left -= given[k]
+    return given
+
+
+def slices(data: bytes, size: int) -> bytes:
+    """``size`` bytes of ``data``: pieces spread evenly over its whole length."""
+    if size >= len(data):
+        return data
+    count = max(1, size // SLICE_BYTES)
+    part = size // count
+    return b" ".join(data[k * (len(data) - part) // max(1, count - 1) :][:part] for k in range(count))
+
+
 def learn(documents: DataFrame, teaches: Column, text_column: str = "text", lang_column: str = "lang", id_column: str = "doc_id") -> list[tuple[str, bytes]]:
     """(language, dictionary) from the rows that teach, the most frequent language first."""
-    rows = documents.where(teaches & F.col(text_column).isNotNull() & F.col(lang_column).isNotNull())
-    rows = rows.select(F.col(lang_column).cast("string").alias("lang"), F.xxhash64(F.col(id_column), F.lit(5)).alias("draw"), F.substring(text_column, 1, SAMPLE_BYTES).alias("text"))
-    drawn = Window.partitionBy("lang").orderBy("draw", "text")
-    # the limit on row_number is applied in each task before anything is shuffled
-    sample = rows.withColumn("place", F.row_number().over(drawn)).where(F.col("place") <= SAMPLE_ROWS).collect()
-    often = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
-    texts: dict[str, list[bytes]] = {}
-    for row in sorted(sample, key=lambda r: (r["lang"], r["place"])):
-        texts.setdefault(row["lang"], []).append(letters(row["text"])[:SAMPLE_BYTES])
-    return [(lang, b" ".join(texts[lang])[:DICTIONARY_BYTES]) for lang in sorted(texts, key=lambda k: (-often[k], k))]
+    text, lang = F.col(text_column).cast("string"), F.col(lang_column).cast("string")
+    rows = documents.where(teaches & text.isNotNull() & lang.isNotNull()).select(lang.alias("lang"), F.xxhash64(F.col(id_column), text, F.lit(5)).alias("draw"), text.alias("text"))
+    often = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES)
+    drawn = Window.partitionBy("lang").orderBy("draw")
+    # both limits are applied in each task before anything is shuffled; copies share a draw
+    named = rows.select("lang", "draw").distinct().join(F.broadcast(often), "lang")
+    sample = materialise(named.withColumn("place", F.row_number().over(drawn)).where(F.col("place") <= SAMPLE_ROWS).select("lang", "draw", "count"))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [letters(x.as_py()) for x in batch.column(3)]
+            columns = [*(batch.column(k) for k in range(3)), pa.array([len(f) for f in found], pa.int64()), pa.array([slices(f, DICTIONARY_BYTES) for f in found], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["lang", "draw", "count", "size", "body"])
+
+    def fill(key: tuple, table: pa.Table) -> pa.Table:
+        table = table.sort_by("draw")
+        bodies = [b for b in table["body"].to_pylist() if b]
+        given = evenly([len(b) for b in bodies], DICTIONARY_BYTES - len(bodies))
+        content = b" ".join(slices(b, n) for b, n in zip(bodies, given, strict=True))
+        return pa.table({"lang": [key[0].as_py()], "count": [table["count"][0].as_py()], "content": pa.array([content], pa.binary())})
+
+    # SAMPLE_ROWS draws of at most LANGUAGES languages: a side of bounded size
+    texts = rows.join(F.broadcast(sample), ["lang", "draw"]).select("lang", "draw", "count", "text")
+    bodies = map_batches(texts, cut, "lang string, draw long, count long, size long, body binary").dropDuplicates(["lang", "draw"])
+    made = bodies.groupBy("lang").applyInArrow(fill, "lang string, count long, content binary").collect()  # LANGUAGES rows of DICTIONARY_BYTES at most
+    return [(r["lang"], bytes(r["content"])) for r in sorted(made, key=lambda r: (-r["count"], r["lang"])) if r["content"]]
 
 
 class Classifier:
@@ -80,7 +121,7 @@ class Classifier:
 
 
 def classify(documents: DataFrame, dictionaries: list[tuple[str, bytes]], id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """doc_id, lang_pred, score, rejected."""
+    """doc_id, lang_pred, score, rejected, lang_accepted."""
     shared = documents.sparkSession.sparkContext.broadcast(dictionaries)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -88,7 +129,8 @@ def classify(documents: DataFrame, dictionaries: list[tuple[str, bytes]], id_col
         for batch in batches:
             found = [judge(x.as_py()) for x in batch.column(1)]
             columns = [pa.array([f[k] for f in found], kind) for k, kind in enumerate((pa.string(), pa.float64(), pa.bool_()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "lang_pred", "score", "rejected"])
+            accepted = pa.array(["und" if f[2] else f[0] for f in found], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns, accepted], ["doc_id", "lang_pred", "score", "rejected", "lang_accepted"])
 
     chosen = documents.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
-    return map_batches(chosen, run, "doc_id long, lang_pred string, score double, rejected boolean")
+    return map_batches(chosen, run, "doc_id long, lang_pred string, score double, rejected boolean, lang_accepted string")

@@ -31,14 +31,14 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     dictionaries = langid_zstd.learn(documents, crc_of_id(F.col("doc_id")) % 4 != 2)
     found = langid_zstd.classify(documents, dictionaries)
-    return found.select("doc_id", (crc_of_id(F.col("doc_id")) % 4 == 2).alias("held_out"), "lang_pred", "score", "rejected")
+    return found.select("doc_id", F.coalesce(crc_of_id(F.col("doc_id")) % 4 == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected", "lang_accepted")
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     weights = quality_ftrl.fit(documents, table(spark, sf_dir, "labels"), crc_of_id(F.col("doc_id")) % 5 != 0)
     found = quality_ftrl.score(documents, weights)
-    return found.select("doc_id", (crc_of_id(F.col("doc_id")) % 5 == 0).alias("held_out"), "score", (F.col("score") >= quality_ftrl.THRESHOLD).cast("int").alias("predicted"))
+    return found.select("doc_id", F.coalesce(crc_of_id(F.col("doc_id")) % 5 == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= quality_ftrl.THRESHOLD).cast("int").alias("predicted"))
 
 
 def op5_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
