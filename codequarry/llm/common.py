@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
+import functools
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,14 +24,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a private one only where none is set."""
+    """The shared folder named by ``spark.checkpoint.dir``; a private one only under a local master where none is set."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="codequarry-checkpoints-"))
+        if not named and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(named or _private())
     return named or context.getCheckpointDir()
 
 
+@functools.cache
+def _private() -> str:
+    """A folder of this process for a local master, removed at its end."""
+    path = tempfile.mkdtemp(prefix="codequarry-checkpoints-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return path
+
+
 def materialise(frame: DataFrame) -> DataFrame:
     """Compute ``frame`` once into the shared checkpoint folder and cut its lineage.
 
@@ -46,6 +60,25 @@ def written(frame: DataFrame, label: str, **options: str) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
+#: Keys with more than 1 in so many of all rows are joined by broadcast: there are at most so many of them.
+HEAVY_KEYS = 20_000
+
+
+def join_one(many: DataFrame, one: DataFrame, keys: list[str], weight: str, total: int, least: int = 256) -> DataFrame:
+    """``many`` joined with ``one``, which has one row a key; no key becomes one long task.
+
+    ``weight`` is the column of ``one`` that counts the key's rows in ``many``, and
+    ``total`` the rows of ``many``.  Keys above ``limit`` rows are at most
+    total / limit <= ``HEAVY_KEYS``, so this part of ``one`` is broadcast and its
+    rows of ``many`` stay where they are; all other keys are shuffled.
+    """
+    limit = max(least, -(-total // HEAVY_KEYS))
+    heavy, light = one.where(F.col(weight) > limit).drop(weight), one.where(F.col(weight) <= limit).drop(weight)
+    stay = many.join(F.broadcast(heavy), keys)
+    move = many.join(F.broadcast(heavy.select(*keys)), keys, "left_anti").join(light, keys)
+    return stay.unionByName(move)
+
+
 def map_batches(
     frame: DataFrame,
     function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
@@ -62,28 +95,47 @@ def fresh(frame: DataFrame, *names: str) -> list[str]:
     return [front + n for n in names]
 
 
+def _plain_scan(frame: DataFrame) -> bool:
+    """If ``frame`` is a table of files with columns or rows left out, and each row of it one row of a file."""
+    plan = frame._jdf.queryExecution().analyzed()
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias") and plan.children().size() == 1:
+        plan = plan.children().apply(0)
+    return plan.nodeName() == "LogicalRelation"
+
+
+def numbered(documents: DataFrame, label: str) -> tuple[DataFrame, str, str]:
+    """``documents`` with a stable name for every row, and the two columns that are the name.
+
+    A row is named by its file (64 bits of a hash of the path) and its place in
+    it, which a lost executor or another split of the files does not change.
+    What is no plain table of Parquet files is written first.
+    """
+    file, place = fresh(documents, "row_file", "row_place")
+
+    def named(frame: DataFrame) -> DataFrame:
+        about = frame.metadataColumn("_metadata")
+        return frame.select("*", F.xxhash64(about["file_path"]).alias(file), about["row_index"].alias(place))
+
+    if _plain_scan(documents):
+        try:
+            return named(documents), file, place
+        except AnalysisException:  # files of another kind have no row index
+            pass
+    return named(written(documents, label)), file, place
+
+
+#: Row names up to this many are broadcast; beyond, they are joined by shuffle.
+BROADCAST_ROWS = 200_000
+
+
+def without_rows(named: DataFrame, file: str, place: str, leave: DataFrame) -> DataFrame:
+    """What ``numbered`` gave, without the rows that ``leave`` (file, place) names; texts move only if it names very many."""
+    held = leave.count()
+    rows = leave.select(F.col("file").alias(file), F.col("place").alias(place))
+    kept = named.join(F.broadcast(rows) if held <= BROADCAST_ROWS else rows, [file, place], "left_anti")
+    return kept.drop(file, place)
+
+
 def crc_of_id(doc_id: Column) -> Column:
     """CRC-32 of a document number written as decimal text."""
     return F.crc32(doc_id.cast("string").cast("binary"))
-
-
-def word_count(text: Column) -> Column:
-    """Number of maximal runs of characters outside ``SPACE_CLASS``; null counts as empty."""
-    bare = F.coalesce(text, F.lit(""))
-    # A word starts where a non-space follows the start or a space: count the
-    # spaces left after every run of spaces has become one, without a split array.
-    runs = F.btrim(F.translate(bare, "\t\n\x0b\x0c\r", "     "), F.lit(" "))
-    return F.when(runs == "", F.lit(0)).otherwise(F.regexp_count(runs, F.lit(" +")) + 1).cast("long")
-
-
-def slabs(column: pa.Array, limit: int = 2 << 20) -> Iterator[tuple[int, int]]:
-    """Row ranges of at most ``limit`` bytes of values (a longer row stands alone)."""
-    start = held = 0
-    for row in range(len(column)):
-        size = len(column[row].as_buffer() or b"") if column[row].is_valid else 0
-        if held and held + size > limit:
-            yield start, row
-            start, held = row, 0
-        held += size
-    if start < len(column):
-        yield start, len(column)

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from codequarry.llm.common import map_batches, materialise
+from codequarry.llm.common import join_one, map_batches, materialise
 
 SEED = 42
 BITS = 64
@@ -96,18 +96,17 @@ def segments_for(count: int, radius: int, occupancy: int = 64) -> int:
     return segments
 
 
-def _cells(distinct: DataFrame, masks: list[int], chunk: int) -> DataFrame:
-    """Fingerprints by the cells they are compared in; side 0 is compared with both sides."""
+def _cells(distinct: DataFrame, masks: list[int], chunk: int, count: int) -> DataFrame:
+    """The ``count`` distinct fingerprints by the cells they are compared in."""
     keys = F.posexplode(F.transform(F.array(*[F.lit(m).cast("long") for m in masks]), lambda m: m.bitwiseAND(F.col("bits"))))
     keyed = distinct.select("bits", keys.alias("mask", "key"))
     sizes = keyed.groupBy("mask", "key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    joined = keyed.join(sizes, ["mask", "key"])
     chunks = F.ceil(F.col("members") / chunk).cast("int")
-    own = F.pmod(F.xxhash64("bits", "mask"), chunks).cast("int")
+    joined = join_one(keyed, sizes.withColumn("chunks", chunks), ["mask", "key"], "members", count * len(masks))
+    own = F.pmod(F.xxhash64("bits", "mask"), F.col("chunks")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda k: F.struct(F.least(k, F.col("own")).alias("low"), F.greatest(k, F.col("own")).alias("high")))
     return (
-        joined.withColumn("chunks", chunks)
-        .withColumn("own", own)
+        joined.withColumn("own", own)
         .select("bits", "mask", "key", "own", F.explode(pairs).alias("cell"))
         .select("mask", "key", "cell.low", "cell.high", F.col("own").alias("part"), "bits")
     )
@@ -122,7 +121,12 @@ def _planes(values: np.ndarray) -> np.ndarray:
 
 
 def within_radius(planes: np.ndarray, word: np.ndarray, query: np.ndarray, radius: int) -> np.ndarray:
-    """For each (block word, query): a word of the lanes at a distance of at most ``radius`` (3 <= radius <= 6)."""
+    """For each (block word, query): a word of the lanes at a distance of at most ``radius``, which is 3 to 6.
+
+    The counters hold 0 to 7, so a larger radius needs wider ones.
+    """
+    if not 3 <= radius <= 6:
+        raise ValueError(f"the radius is 3 to 6, not {radius}")
     alive, near = np.arange(len(word)), np.zeros(len(word), np.uint64)
     ones = np.zeros(len(word), np.uint64)
     twos, fours, over = ones.copy(), ones.copy(), ones.copy()
@@ -227,8 +231,9 @@ def compare_cells(cell: np.ndarray, part: np.ndarray, low: np.ndarray, bits: np.
 
 def link(distinct: DataFrame, radius: int = 4, chunk: int = 4096) -> DataFrame:
     """(a, b): links between distinct fingerprints (column ``bits``) whose closure is that of all links."""
-    masks = segment_masks(segments_for(distinct.count(), radius), radius)
-    cells = _cells(distinct, masks, chunk)
+    count = distinct.count()
+    masks = segment_masks(segments_for(count, radius), radius)
+    cells = _cells(distinct, masks, chunk, count)
     # cells of one chunk with itself compare all rows; low = -1 marks them
     keyed = cells.withColumn("low", F.when(F.col("low") == F.col("high"), F.lit(-1)).otherwise(F.col("low")))
     names = ["mask", "key", "high", "low"]
@@ -269,32 +274,35 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """
     either = lambda e: e.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
     edges = materialise(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    before = None
+    before, count = None, edges.count()
     for _ in range(most_rounds):
         around = either(edges)
-        least = around.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = around.join(least, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        least = around.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("degree"))
+        large = join_one(around, least, ["u"], "degree", 2 * count).where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         smaller = large.select(F.col("a").alias("u"), F.col("b").alias("v"))
-        low = smaller.groupBy("u").agg(F.min("v").alias("m"))
-        small = smaller.join(low, "u")
+        low = smaller.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("degree"))
+        small = join_one(smaller, low, ["u"], "degree", 2 * count)
         edges = materialise(
             small.select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(low.select(F.col("u").alias("a"), F.col("m").alias("b"))).where("a <> b").distinct()
         )
         state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.sum((F.xxhash64("b", "a") % 1000003).cast("decimal(38,0)"))).first()
         if state == before:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()
-        before = state
+            return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+        before, count = state, state[0]
     raise RuntimeError("the links did not settle")
 
 
 def near_duplicates(documents: DataFrame, radius: int = 4, words: int = 4, chunk: int = 4096, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(doc_id, bits, component_id): the smallest document number reachable over links."""
     prints = materialise(fingerprints(documents, words, id_column, text_column))
-    distinct = materialise(prints.groupBy("bits").agg(F.min("doc_id").alias("least_id")))
+    distinct = materialise(prints.groupBy("bits").agg(F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("copies")))
+    size = distinct.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("copies"), F.lit(0)).alias("rows")).first()
     roots = materialise(components(link(distinct.select("bits"), radius, chunk)))
-    named = distinct.join(roots, F.col("bits") == F.col("node"), "left").select("bits", "least_id", F.coalesce("root", "bits").alias("root"))
-    names = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    return prints.join(named.join(names, "root").select("bits", "component_id"), "bits").select("doc_id", "bits", "component_id")
+    named = distinct.join(roots, F.col("bits") == F.col("node")).select("bits", "least_id", "copies", "root")
+    names = named.groupBy("root").agg(F.min("least_id").alias("component_id"), F.count(F.lit(1)).alias("members"))
+    linked = join_one(named, names, ["root"], "members", size["n"]).select("bits", "component_id", "copies")
+    alone = distinct.join(roots, F.col("bits") == F.col("node"), "left_anti").select("bits", F.col("least_id").alias("component_id"), "copies")
+    return join_one(prints, materialise(linked.unionByName(alone)), ["bits"], "copies", size["rows"]).select("doc_id", "bits", "component_id")
 
 
 def as_hex(bits: Column) -> Column:
