@@ -4,7 +4,8 @@ A filter is an array of 64-bit words of fixed length.  It is filled by one
 partial aggregation (``bit_or`` by word number), so at most ``bits / 64`` rows
 come to the driver, and it goes back as a constant array.  Its size is bounded
 by ``MOST_BITS``, whatever is put in; a filter that is too full only lets more
-through.
+through.  Who needs a rate for any number of keys deals them into parts of
+``MOST_KEYS`` at most, with a filter each.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MOST_BITS = 1 << 26
+MOST_KEYS = MOST_BITS // 32
 
 
 def bits_for(keys: int, rate: float = 0.01) -> tuple[int, int]:

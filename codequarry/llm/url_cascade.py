@@ -11,14 +11,20 @@ listed exactly if the first level that rejects it is an even one.  Addresses are
 judged by constants alone: no join, no lookup.
 
 The first level's rate follows the proportion of listed keys in the universe, so
-that the cascade's size follows the list and not the corpus; it is bounded by
-``bloom.MOST_BITS`` for each level.  If a key stands in both lists, block wins.
-An address without a listed key is allowed: that is the method's verdict, since
-it is certain to be on no list.
+that the cascade's size follows the list and not the corpus.  Listed keys and
+universe are dealt by hash into parts of about ``most_keys`` listed keys and
+eight times as many keys at most, each with a cascade of its own, so that every filter
+has the size it needs and every cascade ends, whatever the number of keys.  A
+part is judged in one pass over the addresses; nearly always there is one.
+
+If a key stands in both lists, block wins.  An address without a listed key is
+allowed: that is the method's verdict, since it is certain to be on no list.
 
 Defined results: a null address or one without "://" has an empty host and
-path, no rule and the verdict allow; repeated rows are judged alike; an empty
-table gives no rows; only the two named columns are read.
+path, no rule and the verdict allow; hosts and paths of any length are judged in
+time in proportion to it, since only suffixes of as many labels, and starts of as
+many characters, as some rule has are candidates; repeated rows are judged alike;
+an empty table gives no rows; only the two named columns are read.
 """
 
 from __future__ import annotations
@@ -41,14 +47,20 @@ def parsed(pages: DataFrame, id_column: str = "page_id", url_column: str = "url"
     return pages.select(F.col(id_column).alias("page_id"), F.translate(F.regexp_extract(url, URL, 1), UPPER, LOWER).alias("host"), F.regexp_extract(url, URL, 2).alias("path"))
 
 
-def candidates(lengths: list[int]) -> Column:
-    """Structs (size, key) of an address's candidate keys, from columns host and path."""
-    labels = F.split("host", "[.]")
-    count = F.size(labels)
-    hosts = F.transform(F.sequence(F.lit(1), count), lambda k: F.array_join(F.slice(labels, k, count), "."))
-    paths = F.filter(F.array(*[F.when(F.char_length("path") >= n, F.substring("path", 1, n)) for n in lengths]), lambda p: p.isNotNull())
-    made = F.flatten(F.transform(hosts, lambda h: F.transform(paths, lambda p: F.struct((F.char_length(h) + F.char_length(p)).alias("size"), F.char_length(h).alias("host_size"), F.concat(h, F.lit(BETWEEN), p).alias("key")))))
-    return F.when(F.col("host") == "", F.array().cast("array<struct<size:int,host_size:int,key:string>>")).otherwise(made)
+def candidates(shapes: list[tuple[int, int]]) -> Column:
+    """Structs (size, host_size, key) of an address's candidate keys, from columns host and path.
+
+    ``shapes``: the (host labels, path characters) that rules have.
+    """
+    labels = F.char_length("host") - F.char_length(F.translate("host", ".", "")) + 1
+    wide = F.from_json(F.lit("[" + ",".join(f'{{"n":{n},"l":{length}}}' for n, length in shapes) + "]"), "array<struct<n:int,l:int>>")
+    fitting = F.filter(wide, lambda s: (s["n"] <= labels) & (s["l"] <= F.char_length("path")))
+
+    def made(shape: Column) -> Column:
+        host, path = F.call_function("substring_index", F.col("host"), F.lit("."), -shape["n"]), F.substring(F.col("path"), F.lit(1), shape["l"])
+        return F.struct((F.char_length(host) + shape["l"]).alias("size"), F.char_length(host).alias("host_size"), F.concat(host, F.lit(BETWEEN), path).alias("key"))
+
+    return F.when(F.col("host") == "", F.array().cast("array<struct<size:int,host_size:int,key:string>>")).otherwise(F.transform(fitting, made))
 
 
 @dataclass(frozen=True)
@@ -63,6 +75,10 @@ class Cascade:
         return listed
 
 
+def part_of(key: Column, parts: int) -> Column:
+    return F.pmod(F.xxhash64(key, F.lit(99)), F.lit(parts)).cast("int")
+
+
 def build(listed: DataFrame, universe: DataFrame, most_levels: int = 64) -> Cascade:
     """A cascade that tells, for every key of ``universe``, if ``listed`` holds it (both: column ``key``, distinct)."""
     count, keys = listed.count(), universe.count()
@@ -87,19 +103,26 @@ def build(listed: DataFrame, universe: DataFrame, most_levels: int = 64) -> Casc
     raise RuntimeError("the cascade did not end")
 
 
-def judge(pages: DataFrame, rules: DataFrame, id_column: str = "page_id", url_column: str = "url") -> DataFrame:
+def judge(pages: DataFrame, rules: DataFrame, id_column: str = "page_id", url_column: str = "url", most_keys: int = bloom.MOST_KEYS) -> DataFrame:
     """page_id, host, path, rule, verdict; ``rules`` has host, path (from its slash) and action (allow or block)."""
-    keyed = materialise(rules.select("action", F.char_length("path").alias("length"), F.concat("host", F.lit(BETWEEN), "path").alias("key")).distinct())
-    lengths = sorted(r["length"] for r in keyed.select("length").distinct().collect())  # no more than a path is long
+    dots = F.char_length("host") - F.char_length(F.translate("host", ".", ""))
+    keyed = materialise(rules.select("action", (dots + 1).alias("n"), F.char_length("path").alias("l"), F.concat("host", F.lit(BETWEEN), "path").alias("key")).distinct())
+    # as many as rules have different shapes: lengths of names and of paths bound them, not the number of rules
+    shapes = sorted((r["n"], r["l"]) for r in keyed.select("n", "l").distinct().collect())
     rows = parsed(pages, id_column, url_column)
-    found = rows.withColumn("candidates", candidates(lengths))
+    found = rows.withColumn("candidates", candidates(shapes)).withColumn("best", F.lit(None).cast("struct<size:int,host_size:int,key:string,blocks:boolean>"))
     universe = materialise(found.select(F.explode("candidates.key").alias("key")).distinct())
-    block = build(keyed.where("action = 'block'").select("key"), universe)
-    allow = build(keyed.where("action = 'allow'").select("key"), universe)
-    fitting = F.filter("candidates", lambda c: block.lists(c["key"]) | allow.lists(c["key"]))
-    best = F.array_max(fitting)
-    return (
-        found.withColumn("best", best["key"])
-        .withColumn("verdict", F.when(F.col("best").isNotNull() & block.lists(F.col("best")), "block").otherwise("allow"))
-        .select("page_id", "host", "path", F.regexp_replace("best", BETWEEN, "").alias("rule"), "verdict")
-    )
+    parts = max(1, -(-keyed.count() // most_keys), -(-universe.count() // (8 * most_keys)))
+    for part in range(parts):
+        own = part_of(F.col("key"), parts) == part
+        block = build(keyed.where(own & (F.col("action") == "block")).select("key"), universe.where(own))
+        allow = build(keyed.where(own & (F.col("action") == "allow")).select("key"), universe.where(own))
+        mine = F.filter("candidates", lambda c: part_of(c["key"], parts) == part) if parts > 1 else F.col("candidates")  # noqa: B023
+        judged = F.transform(mine, lambda c: F.struct(c["size"].alias("size"), c["host_size"].alias("host_size"), c["key"].alias("key"), block.lists(c["key"]).alias("blocks"), allow.lists(c["key"]).alias("allows")))  # noqa: B023
+        fitting = F.transform(F.filter(judged, lambda c: c["blocks"] | c["allows"]), lambda c: c.dropFields("allows"))
+        best = F.array_max(F.array_append(fitting, F.col("best"))) if parts > 1 else F.array_max(fitting)
+        found = found.withColumn("best", best)
+        if parts > 1:
+            found = materialise(found)
+    verdict = F.when(F.col("best.blocks"), "block").otherwise("allow")
+    return found.select("page_id", "host", "path", F.regexp_replace("best.key", BETWEEN, "").alias("rule"), verdict.alias("verdict"))

@@ -93,3 +93,25 @@ def test_cascade_is_exact_over_its_universe(spark):
     cascade = url_cascade.build(listed, universe)
     assert len(cascade.levels) > 1
     assert universe.where(cascade.lists(F.col("key")) != (F.expr("crc32(key) % 9 = 0"))).count() == 0
+
+
+def test_parts_of_a_large_list_judge_alike(spark):
+    rows = spark.range(3000).selectExpr("id AS page_id", "concat('http://h', id % 700, '.x.org/p', id) AS url")
+    rules = spark.range(900).selectExpr("concat('h', id, '.x.org') AS host", "concat('/p', id) AS path", "IF(id % 3 = 0, 'block', 'allow') AS action")
+    one, many = (sorted(map(tuple, url_cascade.judge(rows, rules, most_keys=n).collect())) for n in (1 << 20, 250))
+    assert one == many and any(r[3] for r in one) and {r[4] for r in one} == {"allow", "block"}
+
+
+def test_long_hosts_and_paths(spark):
+    labels = ".".join("a" * 100_000)
+    rows = spark.createDataFrame([(1, f"http://{labels}.example.org/es/"), (2, "http://" + "b" * 1_000_000), (3, f"x://{labels}.net/" + "p" * 1_000_000), (4, "://" + "." * 100_000)], "page_id long, url string")
+    rules = spark.sql("SELECT * FROM VALUES " + ", ".join(map(str, queries.RULES)) + " AS rules(host, path, action)")
+    found = {r.page_id: (r.rule, r.verdict, len(r.host), len(r.path)) for r in url_cascade.judge(rows, rules).collect()}
+    assert found == {1: ("example.org/es/", "block", 200_011, 4), 2: (None, "allow", 1_000_000, 0), 3: (None, "allow", 200_003, 1_000_001), 4: (None, "allow", 100_000, 0)}
+
+
+def test_a_million_listed_keys(spark):
+    rows = spark.range(0, 2_000_000, 7).selectExpr("id AS page_id", "concat('http://s', id, '.com/x') AS url")
+    rules = spark.range(1_000_000).selectExpr("concat('s', id, '.com') AS host", "'/' AS path", "'block' AS action")
+    found = url_cascade.judge(rows, rules)
+    assert found.where("(verdict = 'block') <> (page_id < 1000000)").count() == 0 and found.where("verdict = 'block'").count() == 142_858
