@@ -52,11 +52,11 @@ def materialise(frame: DataFrame) -> DataFrame:
     return frame.checkpoint(eager=True)
 
 
-def written(frame: DataFrame, label: str, **options: str) -> DataFrame:
-    """Write ``frame`` as Parquet below the shared folder and return the table read back."""
+def written(frame: DataFrame, label: str, by: str | None = None) -> DataFrame:
+    """Write ``frame`` as Parquet below the shared folder, in folders by a column if wanted, and return the table read back."""
     spark = frame.sparkSession
     path = f"{checkpoint_root(spark)}/codequarry/{label}-{uuid.uuid4().hex}"
-    frame.write.options(**options).parquet(path)
+    (frame.write.partitionBy(by) if by else frame.write).parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
 
 
@@ -64,8 +64,8 @@ def written(frame: DataFrame, label: str, **options: str) -> DataFrame:
 HEAVY_KEYS = 20_000
 
 
-def join_one(many: DataFrame, one: DataFrame, keys: list[str], weight: str, total: int, least: int = 256) -> DataFrame:
-    """``many`` joined with ``one``, which has one row a key; no key becomes one long task.
+def join_one(many: DataFrame, one: DataFrame, keys: list[str], weight: str, total: int, how: str = "inner", least: int = 256) -> DataFrame:
+    """``many`` joined (``inner`` or ``left``) with ``one``, which has one row a key; no key becomes one long task.
 
     ``weight`` is the column of ``one`` that counts the key's rows in ``many``, and
     ``total`` the rows of ``many``.  Keys above ``limit`` rows are at most
@@ -75,7 +75,7 @@ def join_one(many: DataFrame, one: DataFrame, keys: list[str], weight: str, tota
     limit = max(least, -(-total // HEAVY_KEYS))
     heavy, light = one.where(F.col(weight) > limit).drop(weight), one.where(F.col(weight) <= limit).drop(weight)
     stay = many.join(F.broadcast(heavy), keys)
-    move = many.join(F.broadcast(heavy.select(*keys)), keys, "left_anti").join(light, keys)
+    move = many.join(F.broadcast(heavy.select(*keys)), keys, "left_anti").join(light, keys, how)
     return stay.unionByName(move)
 
 

@@ -156,6 +156,35 @@ def test_exact_keeps_one_whole_row(awkward, nothing):
     assert exact_dedup_lsm.keep_first(nothing).count() == 0
 
 
+def test_second_batch_meets_an_earlier_level(spark):
+    named = lambda low, high: spark.range(low, high).selectExpr("id AS doc_id", "cast(id % 700 AS string) AS text", "id AS f", "id AS p")
+    keyed = [exact_dedup_lsm._keyed(named(*r), "f", "p", "doc_id", "text", 32) for r in ((0, 500), (500, 600), (600, 1000), (1000, 1500))]
+    index = exact_dedup_lsm.Index()
+    for rows in keyed[:3]:
+        index.insert(rows)
+    assert [r.tier for r in index.runs] == [1, 0]  # two flushes were merged, the third stands before them
+    older = {r.best.rank: r.group_size for r in index.probe(keyed[3].select("digest").distinct()).collect()}
+    assert len(older) == sum(older.values()) == 600  # 1000..1499 are 300..699 and 0..99 again, and both runs hold 0..99
+    index.insert(keyed[3])
+    assert [r.tier for r in index.runs] == [2]
+    whole = index.compact()
+    assert whole.count() == 700 and whole.agg(F.sum("group_size")).first()[0] == 1500
+    assert {~r.best.rank for r in whole.collect()} == set(range(700))
+
+
+def test_a_filter_refuses_what_its_run_lacks(spark):
+    held = spark.range(5000).selectExpr("unhex(sha2(cast(id AS string), 256)) AS digest")
+    other = spark.range(5000, 10_000).selectExpr("unhex(sha2(cast(id AS string), 256)) AS digest")
+    made = exact_dedup_lsm.Filter.over(held, 5000)
+    assert held.where(made.may_hold(F.col("digest"))).count() == 5000 and other.where(made.may_hold(F.col("digest"))).count() < 500
+
+
+@pytest.mark.parametrize("flushes", [1, 3])
+def test_flushes_change_no_group(awkward, flushes):
+    rows = lambda n: sorted(map(repr, exact_dedup_lsm.duplicates(awkward.select("doc_id", "text"), flushes=n).drop("kept").collect()))
+    assert rows(flushes) == rows(4)
+
+
 def plain_fingerprint(text: str | None, words: int = 4) -> int:
     import re
 
