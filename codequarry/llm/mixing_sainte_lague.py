@@ -16,8 +16,10 @@ sources and shards are ever ranked as a whole.
 
 Defined results: null text has size 0 and takes nothing; null is a source of its
 own, last in order; sources with no words have target 0; repeated rows are
-separate documents; an empty table gives no rows; only the named columns are
-read.
+separate documents, and rows without a number are told apart by their place;
+``mixed_texts`` gives one row for each copy, and a cut part is the text between
+its first and last word with white space and line breaks as they were; an empty
+table gives no rows; only the named columns are read.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codequarry.llm.common import WORD_PATTERN, fresh, materialise
+from codequarry.llm.common import SPACE_CLASS, WORD_PATTERN, fresh, materialise, numbered
 
 #: A table of sources up to this many rows is broadcast; a larger one is joined by shuffle.
 BROADCAST_SOURCES = 20_000
@@ -77,24 +79,19 @@ def sainte_lague(parties: DataFrame, group: list[str], votes: str, seats: str, o
     quotient = F.when(F.col("__step").isNotNull() & (F.col("__k") >= 0), F.col(votes) / (2 * F.col("__k") + 1))
     given = F.when(F.col("__rest") > 0, quotient)
     taken = F.when(F.col("__rest") < 0, quotient)
-    tried = tried.withColumn("__place", F.row_number().over(whole.orderBy(given.desc_nulls_last(), taken.asc_nulls_last(), F.col(order))))
+    tried = tried.withColumn("__place", F.row_number().over(whole.orderBy(given.desc_nulls_last(), taken.asc_nulls_last(), F.when(F.col("__rest") < 0, -F.col(order)).otherwise(F.col(order)))))
     won = F.when(quotient.isNotNull() & (F.col("__place") <= F.abs("__rest")), F.signum("__rest")).otherwise(0).cast("long")
     names = parties.columns
     return tried.withColumn("__won", won).groupBy(*[F.col(n) for n in names], "__base").agg(F.sum("__won").alias("__won")).select(*names, (F.col("__base") + F.col("__won")).alias("quota"))
 
 
-def mix(
-    documents: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, ceiling: float = 2.0, seed: int = 17,
-    most_block: int = 1024, rows_per_shard: int = 2048, most_shards: int = 8192,
-    id_column: str = "doc_id", text_column: str = "text", source_column: str = "source",
+def _plan(
+    named: DataFrame, file: str, place: str, weights: tuple[int, ...], share: float, ceiling: float, seed: int, most_block: int, rows_per_shard: int, most_shards: int,
+    id_column: str, text_column: str, source_column: str,
 ) -> DataFrame:
-    """doc_id, size, source_size, target, taken, and how it is taken: ``passes`` whole
-    ones and the word ranges [from1, to1) and [from2, to2).
-
-    A block is a thousandth of the smallest target, ``most_block`` words at most.
-    """
+    """What ``mix`` returns, with the file and place of every row."""
     size = F.coalesce(F.regexp_count(F.col(text_column).cast("string"), F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
-    sized = materialise(documents.select(F.col(id_column).alias("doc_id"), F.col(source_column).alias("source"), size.alias("size")))
+    sized = materialise(named.select(F.col(id_column).alias("doc_id"), F.col(source_column).alias("source"), size.alias("size"), F.col(file).alias("file"), F.col(place).alias("place")))
     totals = sized.groupBy("source").agg(F.count(F.lit(1)).alias("rows"), F.sum("size").alias("source_size"))
     whole = Window.partitionBy(F.lit(0))
     named = targets(totals, weights, share, ceiling)
@@ -106,11 +103,11 @@ def mix(
     named = materialise(named.select("source", "rank", "source_size", "target", "block", "seats", shards.alias("shards")))
     side = F.broadcast(named) if named.count() <= BROADCAST_SOURCES else named
     placed = sized.alias("d").join(side.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source"))).drop("source")
-    placed = placed.withColumn("mixed", seeded(seed, "doc_id")).withColumn("shard", F.pmod(_number(F.col("mixed")), F.col("shards")).cast("int"))
+    placed = placed.withColumn("mixed", seeded(seed, F.coalesce(F.col("doc_id").cast("string"), F.concat_ws(":", "file", "place")))).withColumn("shard", F.pmod(_number(F.col("mixed")), F.col("shards")).cast("int"))
     quotas = placed.groupBy("rank", "shard", "seats", "block").agg(F.sum("size").alias("shard_size"))
     quotas = sainte_lague(quotas, ["rank"], "shard_size", "seats", "shard").drop("seats", "block")
     inner = Window.partitionBy("rank", "shard")
-    upto = inner.orderBy("mixed", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    upto = inner.orderBy("mixed", "doc_id", "size", "file", "place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = placed.withColumn("end", F.sum("size").over(upto)).join(quotas, ["rank", "shard"])
     rows = rows.withColumn("blocks", F.ceil(F.col("shard_size") / F.col("block")).cast("long"))
     rows = rows.withColumn("quota", F.least("quota", F.floor(F.lit(ceiling) * F.col("blocks")).cast("long")))
@@ -129,33 +126,45 @@ def mix(
         return begin, F.greatest(begin, F.least(F.greatest(b - start, F.lit(0)), F.col("size")))
 
     (a1, b1), (a2, b2) = inside(low, high), inside(F.lit(0), around)
-    rows = rows.select("doc_id", "size", "source_size", "target", "passes", *[c.cast("long").alias(n) for n, c in (("from1", a1), ("to1", b1), ("from2", a2), ("to2", b2))])
+    rows = rows.select("file", "place", "doc_id", "size", "source_size", "target", "passes", *[c.cast("long").alias(n) for n, c in (("from1", a1), ("to1", b1), ("from2", a2), ("to2", b2))])
     taken = F.col("passes") * F.col("size") + F.col("to1") - F.col("from1") + F.col("to2") - F.col("from2")
     return rows.withColumn("taken", taken.cast("long"))
 
 
-def mixed_texts(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source", **options) -> DataFrame:
-    """The mix itself, with the columns of ``documents``: one row for each document that
-    is taken at all.  A document taken once as a whole keeps its text; further whole
-    copies and cut parts (words joined by single spaces) follow after an empty line.
+def mix(
+    documents: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, ceiling: float = 2.0, seed: int = 17,
+    most_block: int = 1024, rows_per_shard: int = 2048, most_shards: int = 8192,
+    id_column: str = "doc_id", text_column: str = "text", source_column: str = "source",
+) -> DataFrame:
+    """doc_id, size, source_size, target, taken, and how it is taken: ``passes`` whole
+    ones and the word ranges [from1, to1) and [from2, to2).
+
+    A block is a thousandth of the smallest target, ``most_block`` words at most.
+    """
+    rows = numbered(documents, "mix")
+    return _plan(*rows, weights, share, ceiling, seed, most_block, rows_per_shard, most_shards, id_column, text_column, source_column).drop("file", "place")
+
+
+def mixed_texts(
+    documents: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, ceiling: float = 2.0, seed: int = 17,
+    most_block: int = 1024, rows_per_shard: int = 2048, most_shards: int = 8192,
+    id_column: str = "doc_id", text_column: str = "text", source_column: str = "source",
+) -> DataFrame:
+    """The mix itself, with the columns of ``documents``: one row for each copy of a
+    document and for each part of one.  Plans meet their rows by file and place.
     """
-    plan = mix(documents, id_column=id_column, text_column=text_column, source_column=source_column, **options).where("taken > 0")
-    # rows with the same number and size share one of their plans, so that no row is doubled
-    names = fresh(documents, "plan_id", "plan_size", "passes", "from1", "to1", "from2", "to2", "mixed_text")
-    plan_id, plan_size, passes, from1, to1, from2, to2, mixed_text = names
-    plan = plan.select(*[F.col(c).alias(n) for c, n in zip(("doc_id", "size", "passes", "from1", "to1", "from2", "to2"), names, strict=False)]).dropDuplicates([plan_id, plan_size])
-    text = F.col(text_column)
-    size = F.coalesce(F.regexp_count(text, F.lit(WORD_PATTERN)), F.lit(0))
-    words = F.regexp_extract_all(text, F.lit(f"({WORD_PATTERN})"), F.lit(1))
-
-    def cut(a: str, b: str) -> Column:
-        whole = (F.col(a) == 0) & (F.col(b) == F.col(plan_size))
-        part = F.array_join(F.slice(words, (F.col(a) + 1).cast("int"), (F.col(b) - F.col(a)).cast("int")), " ")
-        return F.when(F.col(b) > F.col(a), F.when(whole, text).otherwise(part))
-
-    parts = F.concat(F.array_repeat(text, F.col(passes).cast("int")), F.array(cut(from1, to1), cut(from2, to2)))
-    joined = documents.join(plan, F.col(id_column).eqNullSafe(F.col(plan_id)) & (size == F.col(plan_size)))
-    made = joined.withColumn(mixed_text, F.array_join(F.filter(parts, lambda p: p.isNotNull()), "\n\n")).withColumn(text_column, F.col(mixed_text))
+    named, file, place = numbered(documents, "mix")
+    plan = _plan(named, file, place, weights, share, ceiling, seed, most_block, rows_per_shard, most_shards, id_column, text_column, source_column).where("taken > 0")
+    ranges, piece = fresh(named, "ranges", "piece")
+    span = lambda a, b: F.struct(a.alias("a"), b.alias("b"))
+    whole = F.array_repeat(span(F.lit(0).cast("long"), F.col("size")), F.col("passes").cast("int"))
+    cuts = F.filter(F.array(span(F.col("from1"), F.col("to1")), span(F.col("from2"), F.col("to2"))), lambda r: r["b"] > r["a"])
+    plan = plan.select(F.col("file").alias(file), F.col("place").alias(place), F.concat(whole, cuts).alias(ranges), F.col("size").alias(piece))
+    copies = named.join(plan, [file, place]).withColumn(ranges, F.explode(ranges))
+    text, first, last = F.col(text_column).cast("string"), F.col(f"{ranges}.a"), F.col(f"{ranges}.b")
+    words = F.regexp_extract_all(text, F.lit(f"({WORD_PATTERN}{SPACE_CLASS}*)"), F.lit(1))  # each word with the white space behind it
+    part = F.rtrim(F.array_join(F.slice(words, (first + 1).cast("int"), (last - first).cast("int")), ""), F.lit(" \t\n\x0b\x0c\r"))
+    made = copies.withColumn(text_column, F.when((first == 0) & (last == F.col(piece)), text).otherwise(part))
     if "n_chars" in documents.columns:
         made = made.withColumn("n_chars", F.char_length(text_column).cast(dict(documents.dtypes)["n_chars"]))
-    return made.select(*documents.columns)
+    return made.select(*[F.col(f"`{c}`") for c in documents.columns])

@@ -49,3 +49,63 @@ SELECT conv_id, count(*) AS n_turns,
 FROM rows_ GROUP BY conv_id
 """
 ORACLES["op6_chat_format"] = OP6
+
+OP10 = r"""
+WITH sized AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents
+), totals AS (
+  SELECT source, count(*) AS n, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source
+), weighed AS (
+  SELECT *, row_number() OVER (ORDER BY source ASC NULLS LAST) AS rank, CAST(source_size AS DOUBLE) * CAST(2 AS DOUBLE) AS cap FROM totals
+), heavy AS (
+  SELECT *, CAST(CASE (rank - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS DOUBLE) AS weight FROM weighed
+), levels AS (
+  SELECT *,
+    (CAST(1.5 AS DOUBLE) * CAST(sum(source_size) OVER () AS DOUBLE) - coalesce(sum(cap) OVER before, CAST(0 AS DOUBLE))) / (sum(weight) OVER () - coalesce(sum(weight) OVER before, CAST(0 AS DOUBLE))) AS level_here
+  FROM heavy WINDOW before AS (ORDER BY cap / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), targets AS (
+  SELECT source, n, rank, source_size, least(cap, (SELECT max(level_here) FROM levels) * weight) AS target FROM levels
+), blocked AS (
+  SELECT *, CAST(coalesce(greatest(1, least(1024, floor((SELECT min(target) FROM targets WHERE target > 0) / 1000))), 1) AS BIGINT) AS block FROM targets
+), wanted AS (
+  SELECT *, CAST(floor((SELECT sum(target) FROM targets) / block + 0.5) AS BIGINT) AS all_seats, target / (SELECT sum(target) FROM targets) AS part FROM blocked
+), source_quotients AS (
+  SELECT rank, row_number() OVER (ORDER BY target / (2 * k + 1) DESC, rank) AS place, all_seats
+  FROM wanted, unnest(generate_series(0, CAST(ceil(all_seats * part) AS BIGINT) + 3)) AS t(k) WHERE target > 0
+), seats AS (
+  SELECT rank, count(*) AS seats FROM source_quotients WHERE place <= all_seats GROUP BY rank
+), named AS (
+  SELECT w.*, coalesce(s.seats, 0) AS seats, CAST(least(8192, greatest(1, ceil(n / 2048.0))) AS BIGINT) AS shards FROM wanted w LEFT JOIN seats s USING (rank)
+), placed AS (
+  SELECT d.doc_id, d.size, s.rank, s.source_size, s.target, s.block, s.seats, md5('17:' || coalesce(CAST(d.doc_id AS VARCHAR), '')) AS mixed, shards
+  FROM sized d JOIN named s ON d.source IS NOT DISTINCT FROM s.source
+), dealt AS (
+  SELECT *, CAST('0x' || substr(mixed, 1, 8) AS BIGINT) % shards AS shard FROM placed
+), shard_sizes AS (
+  SELECT rank, shard, any_value(seats) AS seats, any_value(block) AS block, CAST(sum(size) AS BIGINT) AS shard_size FROM dealt GROUP BY rank, shard
+), shard_parts AS (
+  SELECT *, shard_size / sum(shard_size) OVER (PARTITION BY rank) AS part FROM shard_sizes
+), shard_quotients AS (
+  SELECT rank, shard, seats, row_number() OVER (PARTITION BY rank ORDER BY shard_size / (2 * k + 1) DESC, shard) AS place
+  FROM shard_parts, unnest(generate_series(0, CAST(ceil(seats * part) AS BIGINT) + 3)) AS t(k) WHERE shard_size > 0
+), quotas AS (
+  SELECT rank, shard, count(*) FILTER (place <= seats) AS quota FROM shard_quotients GROUP BY rank, shard
+), runs AS (
+  SELECT s.rank, s.shard, s.shard_size, s.block, CAST(ceil(s.shard_size / s.block) AS BIGINT) AS blocks, coalesce(q.quota, 0) AS given,
+    CAST('0x' || substr(md5('17:start:' || s.rank || ':' || s.shard), 1, 8) AS BIGINT) AS start_
+  FROM shard_sizes s LEFT JOIN quotas q USING (rank, shard)
+), passes AS (
+  SELECT *, least(given, 2 * blocks) AS quota, start_ % greatest(blocks, 1) AS first_ FROM runs
+), ranges AS (
+  SELECT *, CASE WHEN blocks > 0 THEN quota // blocks ELSE 0 END AS passes, quota - CASE WHEN blocks > 0 THEN quota // blocks ELSE 0 END * blocks AS run FROM passes
+), ended AS (
+  SELECT *, CAST(sum(size) OVER (PARTITION BY rank, shard ORDER BY mixed, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) - size AS start FROM dealt
+), bounds AS (
+  SELECT e.*, r.passes, first_ * r.block AS low, least((first_ + run) * r.block, shard_size) AS high, greatest(0, first_ + run - blocks) * r.block AS around
+  FROM ended e JOIN ranges r USING (rank, shard)
+), cuts AS (
+  SELECT *, least(greatest(low - start, 0), size) AS from1, least(greatest(high - start, 0), size) AS upto1, least(greatest(-start, 0), size) AS from2, least(greatest(around - start, 0), size) AS upto2 FROM bounds
+)
+SELECT doc_id, size, source_size, target, CAST(passes * size + greatest(from1, upto1) - from1 + greatest(from2, upto2) - from2 AS BIGINT) AS taken FROM cuts
+"""
+ORACLES["op10_mixing"] = OP10

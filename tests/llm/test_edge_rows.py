@@ -252,6 +252,25 @@ def test_mixing_awkward_rows(awkward, nothing):
     assert mixing_sainte_lague.mix(nothing).count() == 0 and mixing_sainte_lague.mixed_texts(nothing).count() == 0
 
 
+def test_mixed_copies_are_rows_of_their_own(spark):
+    rows = [(1, "a b c d", "s"), (1, "e f g h", "s"), (2, "i j", "t"), (None, "k\n\nl  m", "t"), (None, "k\n\nl  m", "u"), (None, None, "u"), (3, "", None)] + [(k, f"n{k} \n o\tp", "v") for k in range(4, 60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("plan_id", F.lit("clash"))
+    plan, made = mixing_sainte_lague.mix(docs).collect(), mixing_sainte_lague.mixed_texts(docs)
+    assert made.columns == docs.columns
+    made = made.collect()
+    assert sum(r.taken for r in plan) == sum(len(r.text.split()) for r in made) and {r["size"]: 1 for r in plan}.keys() == {4, 2, 3, 0}
+    originals = {(r[0], r[1]) for r in rows}
+    for r in made:
+        assert any(r.doc_id == d and r.text in (t or "") for d, t in originals) and r.text == r.text.strip()
+    wanted: dict = {}
+    for r in plan:
+        wanted[r.doc_id] = wanted.get(r.doc_id, 0) + r.taken
+    for r in made:
+        wanted[r.doc_id] -= len(r.text.split())
+    assert not any(wanted.values())
+    assert sorted(map(repr, made)) == sorted(map(repr, mixing_sainte_lague.mixed_texts(docs).collect()))
+
+
 def test_targets_share_what_is_above_a_ceiling(spark):
     sources = spark.createDataFrame([("a", 1, 10), ("b", 1, 1000), ("c", 1, 1000), ("d", 1, 0), (None, 1, 50)], "source string, rows long, source_size long")
     found = {r.source: r for r in mixing_sainte_lague.targets(sources).collect()}
