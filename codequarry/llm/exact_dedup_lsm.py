@@ -52,9 +52,12 @@ def normalised(text: Column) -> Column:
 
 def _keyed(named: DataFrame, file: str, place: str, id_column: str, text_column: str, digest_bytes: int) -> DataFrame:
     text = F.col(text_column).cast("string")
-    rows = named.select(F.col(id_column).alias("doc_id"), F.coalesce(F.char_length(text), F.lit(0)).alias("points"), normalised(text).alias("body"), F.col(file).alias("file"), F.col(place).alias("place"))
-    sha = F.unhex(F.sha2(F.col("body").cast("binary"), 256))
-    return rows.withColumn("sha", sha).withColumn("digest", F.substring("sha", 1, digest_bytes) if digest_bytes < 32 else F.col("sha"))
+    body = normalised(text)
+    sha = F.unhex(F.sha2(body.cast("binary"), 256))
+    made = F.struct(F.coalesce(F.char_length(text), F.lit(0)).alias("points"), body.alias("body"), sha.alias("sha"))
+    # through a generator, which conditions on the digest stay above: it is computed once a row
+    rows = named.select(F.col(id_column).alias("doc_id"), F.col(file).alias("file"), F.col(place).alias("place"), F.inline(F.array(made)))
+    return rows.withColumn("digest", F.substring("sha", 1, digest_bytes) if digest_bytes < 32 else F.col("sha"))
 
 
 def flush(keyed: DataFrame, flushes: int = FLUSHES) -> DataFrame:
@@ -71,9 +74,10 @@ def _groups(rows: DataFrame, *keys: str) -> DataFrame:
 
 @dataclass(frozen=True)
 class Filter:
-    """The Bloom filter of a run; without words it refuses nothing."""
+    """The Bloom filter of a run, a table of one row; without it nothing is refused."""
 
-    words: list[int] | None
+    words: DataFrame | None
+    bits: int = 0
     hashes: int = 0
 
     @staticmethod
@@ -82,10 +86,10 @@ class Filter:
         if 4 * count > bloom.MOST_BITS:
             return Filter(None)
         bits, hashes = bloom.bits_for(count)
-        return Filter(bloom.build(frame, "digest", bits, hashes), hashes)
+        return Filter(bloom.table(frame, "digest", bits, hashes), bits, hashes)
 
     def may_hold(self, key: Column) -> Column:
-        return F.lit(True) if self.words is None else bloom.contains(self.words, key, self.hashes)
+        return F.lit(True) if self.words is None else bloom.contains(self.words.scalar(), key, self.hashes, bits=self.bits)
 
 
 @dataclass(frozen=True)
