@@ -68,10 +68,12 @@ def learn(documents: DataFrame, teaches: Column, text_column: str = "text", lang
     """(language, dictionary) from the rows that teach, the most frequent language first."""
     text, lang = F.col(text_column).cast("string"), F.col(lang_column).cast("string")
     rows = documents.where(teaches & text.isNotNull() & lang.isNotNull()).select(lang.alias("lang"), F.xxhash64(F.col(id_column), text, F.lit(5)).alias("draw"), text.alias("text"))
-    often = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES)
-    drawn = Window.partitionBy("lang").orderBy("draw")
-    # both limits are applied in each task before anything is shuffled; copies share a draw
-    named = rows.select("lang", "draw").distinct().join(F.broadcast(often), "lang")
+    often = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("count"), F.approx_count_distinct("draw").alias("different"))
+    often = materialise(often.orderBy(F.desc("count"), "lang").limit(LANGUAGES).withColumn("share", 2 * SAMPLE_ROWS / F.col("different")))
+    # only the lowest draws, twice as many as are wanted, come as far as the exact limit; copies share a draw
+    low = F.shiftrightunsigned("draw", 11) * F.lit(2.0**-53) < F.col("share")
+    named = rows.select("lang", "draw").join(F.broadcast(often), "lang").where(low).select("lang", "draw", "count").distinct()
+    drawn = Window.partitionBy("lang").orderBy(F.shiftrightunsigned("draw", 11), "draw")
     sample = materialise(named.withColumn("place", F.row_number().over(drawn)).where(F.col("place") <= SAMPLE_ROWS).select("lang", "draw", "count"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
