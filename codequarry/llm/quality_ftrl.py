@@ -10,7 +10,8 @@ weights, over the input partitions.
 
 Defined results: null is empty, and an empty text is scored by the constant term
 alone; without a labelled row all scores are 0.5; null labels teach nothing and
-of several labels of a document the highest counts; repeated rows are scored
+of several labels of a document the highest counts, and of several texts of a
+number one is learned; repeated rows are scored
 alike; an empty table gives no rows; only the named columns are read.
 """
 
@@ -113,7 +114,9 @@ def fit(documents: DataFrame, labels: DataFrame, teaches: Column, id_column: str
     # a few thousand ids and labels at most, so this side may be broadcast
     sample = known.withColumn("draw", F.xxhash64("i", F.lit(3))).orderBy("draw", "i").limit(SAMPLE_ROWS)
     texts = documents.select(F.col(id_column).alias("d"), F.col(text_column).cast("string").alias("text"))
-    rows = texts.join(F.broadcast(sample), F.col("d") == F.col("i")).select("draw", "i", "y", "text")
+    found = texts.join(F.broadcast(sample), F.col("d") == F.col("i"))
+    # of a repeated number one text, the one of the least hash: no number brings more than one row to the learner
+    rows = found.groupBy("draw", "i", "y").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
     passes = rows.select("*", F.explode(F.sequence(F.lit(1), F.lit(EPOCHS))).alias("epoch"))
     ordered = passes.repartition(1).sortWithinPartitions("epoch", F.xxhash64("draw", "epoch"), "i", "text").select("y", "text")
 

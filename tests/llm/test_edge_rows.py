@@ -288,9 +288,12 @@ def test_seats_equal_highest_quotients(spark):
     assert [r.quota for r in mixing_sainte_lague.sainte_lague(frame, [], "v", "seats", "k").orderBy("k").collect()] == wanted
 
 
-def test_stages_take_clashing_columns(spark, awkward, nothing):
-    for docs in (awkward.where("doc_id is not null"), nothing):
-        for name, stage in corpus_pipeline.STAGES[1:4]:
-            made = stage(spark, docs, "unused")
+def test_stages_take_clashing_columns(spark, awkward, nothing, sf_dir):
+    for docs in (awkward, nothing):
+        for name, stage in corpus_pipeline.STAGES[:4]:
+            made = stage(spark, docs, sf_dir)
             assert made.columns == docs.columns, name
             made.count()
+        pieces = [-(-(len(packing_bfd.encoder(TOKENIZER).ids(r[1] or "")) + 1) // 2048) for r in ROWS] if docs is awkward else []
+        assert corpus_pipeline.packing(spark, docs, sf_dir).count() == sum(pieces)
+    assert [r.text for r in corpus_pipeline.exact_dedup(spark, awkward, sf_dir).where("doc_id IS NULL").collect()] == ["no number here"]

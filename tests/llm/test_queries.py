@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import hashlib
+import re
+import zlib
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from codequarry.llm import chat_columnar, html_wrapper, queries, url_cascade
+import corpus_pipeline
+from codequarry.llm import chat_columnar, html_wrapper, langid_zstd, media_mpeg, packing_bfd, quality_ftrl, queries, url_cascade
+from codequarry.llm.common import crc_of_id, table, written
 from tests.oracle import same_rows
 
 ORACLES = queries.oracle_sql()
@@ -28,9 +33,112 @@ def test_held_out_accuracy(spark):
     assert (quality.predicted == quality.quality).mean() >= 0.95
 
 
-def test_pipeline(spark, sf_dir):
-    found = queries.pipeline(spark, sf_dir).collect()
-    assert found and {"doc_id", "sequence_id", "offset", "length"} <= set(found[0].asDict())
+def test_pipeline_stages_against_plain_ones(spark, sf_dir, tmp_path):
+    """Every stage on what its predecessor kept, held against brute force, SQL or the operator's own brute force."""
+    from tests.llm.test_near_jaccard import plain_stay
+    from tests.oracle import rows_of_sql
+
+    docs, tables = table(spark, sf_dir, "documents"), {}
+    for name, stage in corpus_pipeline.STAGES:
+        before = docs.collect()
+        docs = written(stage(spark, docs, sf_dir), name)
+        tables[name] = (before, docs.collect())
+    plain = lambda rows: sorted((r.doc_id, r.text or "") for r in rows)
+
+    before, after = tables["quality"]
+    given = table(spark, sf_dir, "documents")
+    weights = quality_ftrl.fit(given, table(spark, sf_dir, "labels"), crc_of_id(F.col("doc_id")) % 5 != 0)
+    assert plain(after) == plain(r for r in before if quality_ftrl.score_text(r.text, weights) >= 0.3) and len(after) < len(before)
+
+    before, after = tables["exact_dedup"]
+    best: dict = {}
+    for r in before:
+        body = "".join(c for c in r.text or "" if c not in " \t\n\x0b\x0c\r")
+        best[body] = max(best.get(body, (-1, 0, r)), (len(r.text or ""), -r.doc_id, r), key=lambda x: x[:2])
+    assert plain(after) == plain(b[2] for b in best.values())
+
+    before, after = tables["near_dedup"]
+    assert plain(after) == plain(before[k] for k in plain_stay([(r.doc_id, r.text) for r in before]))
+
+    before, after = tables["mixing"]
+    spark.createDataFrame(before, given.schema).toPandas().to_parquet(tmp_path / "documents.parquet")
+    names, rows = rows_of_sql(str(tmp_path), ORACLES["op10_mixing"])
+    taken = {r[names.index("doc_id")]: r[names.index("taken")] for r in rows if r[names.index("taken")]}
+    made: dict = {}
+    for r in after:
+        made[r.doc_id] = made.get(r.doc_id, 0) + len(re.findall(r"[^\x20\x09-\x0D]+", r.text))
+    assert made == taken and all(r.n_chars == len(r.text) for r in after)
+
+    before, after = tables["packing"]
+    tokens: dict = {}
+    for r in before:
+        tokens[r.doc_id] = tokens.get(r.doc_id, 0) + len(packing_bfd.encoder(queries.byte_bpe_50k()).exact.encode(r.text, add_special_tokens=False).ids) + 1
+    packed: dict = {}
+    for r in after:
+        packed[r.doc_id] = packed.get(r.doc_id, 0) + r.length
+    assert packed == tokens
+    assert sorted(map(repr, queries.pipeline(spark, sf_dir).collect())) == sorted(map(repr, after))
+
+
+def test_registered_media_and_packing(spark, sf_dir):
+    from tokenizers import Tokenizer
+
+    documents = {r.doc_id: (r.text or "") for r in table(spark, sf_dir, "documents").collect()}
+    for r in queries.op1_mpeg_media(spark, sf_dir).collect():
+        data = documents[r.doc_id].encode()
+        payload = data + b"\xff" * (-len(data) % 576 if data else 576)
+        assert (r.n_bytes, r.payload_sha256, r.tail_crc32) == (len(data), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
+        assert (r.media_bytes, r.media_sha256) == (len(media_mpeg.encode_bytes(data)), hashlib.sha256(media_mpeg.encode_bytes(data)).hexdigest())
+    exact = Tokenizer.from_file(queries.byte_bpe_50k())
+    pieces: dict = {}
+    for r in queries.op4_packing(spark, sf_dir).collect():
+        pieces.setdefault(r.doc_id, []).append(r)
+    assert pieces.keys() == documents.keys()
+    for doc, text in documents.items():
+        ids, at = np.array([*exact.encode(text, add_special_tokens=False).ids, 1], "<u4"), 0
+        for r in sorted(pieces[doc], key=lambda r: r.start):
+            assert r.start == at and r.doc_tokens == len(ids) and r.ids_crc32 == zlib.crc32(ids[at : at + r.length].tobytes())
+            at += r.length
+        assert at == len(ids)
+
+
+def test_registered_simhash_against_all_pairs(spark, sf_dir):
+    from tests.llm.test_edge_rows import plain_components, plain_fingerprint
+
+    rows = table(spark, sf_dir, "documents").collect()
+    prints = [plain_fingerprint(r.text) for r in rows]
+    label = plain_components(prints, 4)
+    least: dict = {}
+    for r, n in zip(rows, label, strict=True):
+        least[n] = min(least.get(n, r.doc_id), r.doc_id)
+    wanted = sorted((r.doc_id, f"{p:016x}", least[n]) for r, p, n in zip(rows, prints, label, strict=True))
+    assert sorted(map(tuple, queries.op8_simhash(spark, sf_dir).select("doc_id", "fingerprint", "component_id").collect())) == wanted
+
+
+def test_learners_say_what_their_formulas_say(spark, sf_dir):
+    """op2 and op3 against a plain reading of their method, with what they learned."""
+    import zstandard
+
+    documents = table(spark, sf_dir, "documents")
+    learned = langid_zstd.learn(documents, crc_of_id(F.col("doc_id")) % 4 != 2)
+    texts = {r.doc_id: r.text for r in documents.collect()}
+    for r in queries.op2_language_id(spark, sf_dir).collect():
+        words = "".join(c if c.isalpha() else " " for c in re.sub(r"[\W\d_]", " ", (texts[r.doc_id] or "").lower())).split()
+        data = " ".join(words).encode()
+        if not data:
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        sizes = []
+        for lang, content in learned:
+            known = zstandard.ZstdCompressor(level=langid_zstd.LEVEL, dict_data=zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False, write_dict_id=False)
+            sizes.append((sum(len(known.compress(data[at : at + langid_zstd.BLOCK])) for at in range(0, len(data), langid_zstd.BLOCK)), lang))
+        assert r.lang_pred in {lang for size, lang in sizes if size == min(sizes)[0]} and 0 <= r.score <= 1
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2)
+    weights = quality_ftrl.fit(documents, table(spark, sf_dir, "labels"), crc_of_id(F.col("doc_id")) % 5 != 0)
+    for r in queries.op3_quality(spark, sf_dir).collect():
+        places, values = quality_ftrl.features(texts[r.doc_id])
+        assert r.score == pytest.approx(1 / (1 + np.exp(-float(weights[places].astype(float) @ values))), abs=1e-5)
+        assert r.predicted == (r.score >= 0.3) and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
 
 
 def test_conversations_with_control_strings(spark):
