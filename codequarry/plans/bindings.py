@@ -94,23 +94,27 @@ def quoted(value: str | int | None) -> str:
     return str(value) if isinstance(value, int) else "'" + value.replace("'", "''") + "'"
 
 
-def templates_sql() -> str:
+def templates_sql(templates: list) -> str:
     """(template, file, source) rows; a source's {p} stands for the folder, and line feeds are written as ~."""
-    rows = [f"({k}, {quoted(name)}, {quoted(text.replace(chr(10), '~'))})" for k, (files, _) in enumerate(TEMPLATES) for name, text in files]
+    rows = [f"({k}, {quoted(name)}, {quoted(text.replace(chr(10), '~'))})" for k, (files, _) in enumerate(templates) for name, text in files]
     return "SELECT * FROM (VALUES " + ", ".join(rows) + ") AS t(template, file, source)"
 
 
-def outcomes_sql() -> str:
-    rows = [f"({k}, {', '.join(map(quoted, call))})" for k, (_, calls) in enumerate(TEMPLATES) for call in calls]
+def outcomes_sql(templates: list) -> str:
+    rows = [f"({k}, {', '.join(map(quoted, call))})" for k, (_, calls) in enumerate(templates) for call in calls]
     return "SELECT * FROM (VALUES " + ", ".join(rows) + ") AS t(template, file, line, target, status, proof, shadowed_by, dynamic_kind, resolved)"
 
 
-#: one folder of python files for each part
-SOURCES = f"""
+def sources_sql(templates: list) -> str:
+    """One folder of python files for each part."""
+    return f"""
 SELECT 'p' || CAST(p_partkey AS VARCHAR(20)) || '/' || file || '.py' AS path, replace(replace(source, '~', chr(10)), '{{p}}', 'p' || CAST(p_partkey AS VARCHAR(20))) AS content
-FROM part JOIN ({templates_sql()}) AS t ON t.template = p_partkey % {len(TEMPLATES)}
+FROM part JOIN ({templates_sql(templates)}) AS t ON t.template = p_partkey % {len(templates)}
 """
 
+
+SOURCES = sources_sql(TEMPLATES)
+
 #: profiles (customers) that may fit projects (nations)
 PROFILES = """
 SELECT c_nationkey AS project, c_custkey AS profile, CASE c_mktsegment WHEN 'BUILDING' THEN NULL WHEN 'AUTOMOBILE' THEN 3 WHEN 'MACHINERY' THEN 2 WHEN 'HOUSEHOLD' THEN 1 ELSE 0 END AS base,

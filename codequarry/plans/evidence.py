@@ -11,7 +11,7 @@ from codequarry.functions import language, paths, patterns, text
 from codequarry.operators import config, graph, ignore, imports, reading
 from codequarry.operators.shared import materialise
 from codequarry.plans import bindings as b
-from codequarry.plans import reports, run
+from codequarry.plans import cases, reports, run
 from codequarry.sources import facts, tree
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -355,24 +355,28 @@ def graph_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- python sources made of parts
 
 _COUNT = len(b.TEMPLATES)
-_TRACES: dict[tuple[int, str], run.Trace] = {}
 
 
-def traced(spark: SparkSession, sf_dir: str) -> run.Trace:
-    """Facts and resolutions of all parts' sources, once for each session and folder."""
-    key = (id(spark), sf_dir)
-    if key not in _TRACES:
-        files = b.bound(spark, sf_dir, b.SOURCES).withColumn("language", language.language_of(F.col("path"))).withColumn("status", F.lit("text"))
-        _TRACES[key] = run.trace(materialise(files.select("path", "language", "status", "content")))
-    return _TRACES[key]
+def _sources(spark: SparkSession, sf_dir: str, sql: str = b.SOURCES) -> DataFrame:
+    files = b.bound(spark, sf_dir, sql).withColumn("language", language.language_of(F.col("path"))).withColumn("status", F.lit("text"))
+    return materialise(files.select("path", "language", "status", "content"))
+
+
+def traced(spark: SparkSession, sf_dir: str, sql: str = b.SOURCES) -> run.Trace:
+    """Facts and resolutions of all parts' sources."""
+    return run.trace(_sources(spark, sf_dir, sql))
+
+
+def parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return materialise(facts.facts(_sources(spark, sf_dir)))
 
 
 _EXPECTED = f"""SELECT 'p' || CAST(p_partkey AS VARCHAR(20)) || '/' || file || '.py' AS path, CAST(line AS INT) AS line, target, status, proof, shadowed_by, dynamic_kind, resolved
-  FROM part JOIN ({b.outcomes_sql()}) AS t ON t.template = p_partkey % {_COUNT}"""
+  FROM part JOIN ({b.outcomes_sql(b.TEMPLATES)}) AS t ON t.template = p_partkey % {_COUNT}"""
 
 
-def _calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = traced(spark, sf_dir).calls
+def _calls(spark: SparkSession, sf_dir: str, sql: str = b.SOURCES) -> DataFrame:
+    found = traced(spark, sf_dir, sql).calls
     return found.select("path", "line", F.array_join("target_parts", ".").alias("target"), "status", "proof", "shadowed_by", "dynamic_kind", F.col("resolved_target.qualified_name").alias("resolved"))
 
 
@@ -381,6 +385,21 @@ def call_resolutions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _calls(spark, sf_dir)
 
 
+_CASES = f"""SELECT 'p' || CAST(p_partkey AS VARCHAR(20)) || '/' || file || '.py' AS path, CAST(line AS INT) AS line, target, status, proof, shadowed_by, dynamic_kind, resolved
+  FROM part JOIN ({b.outcomes_sql(cases.CASES)}) AS t ON t.template = p_partkey % {len(cases.CASES)}"""
+
+
+@registered(_CASES)
+def call_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every call of the hard programs, one program for each part."""
+    return _calls(spark, sf_dir, b.sources_sql(cases.CASES))
+
+
+@registered(f"SELECT status, proof, shadowed_by, dynamic_kind, count(*) AS n FROM ({_CASES}) GROUP BY ALL")
+def call_case_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return call_cases(spark, sf_dir).groupBy("status", "proof", "shadowed_by", "dynamic_kind").agg(F.count(F.lit(1)).alias("n"))
+
+
 def _of(name: str, condition: str) -> None:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         return _calls(spark, sf_dir).where(condition)
@@ -406,7 +425,7 @@ _BAD = next(k for k, (files, _) in enumerate(b.TEMPLATES) if files[0][1] == "def
 
 @registered(f"SELECT path, CASE WHEN bad THEN 'syntax_error' ELSE 'parsed' END AS status, 'python.ast' AS parser_id, CASE WHEN bad THEN 'SyntaxError' END AS error_type FROM (SELECT path, content = 'def (' || chr(10) AS bad FROM ({b.SOURCES}))")
 def parse_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return facts.outcomes(traced(spark, sf_dir).facts).select("path", "status", "parser_id", "error_type")
+    return facts.outcomes(parsed(spark, sf_dir)).select("path", "status", "parser_id", "error_type")
 
 
 def _template_rows(columns: str, rows: list[tuple]) -> str:
@@ -430,17 +449,17 @@ _IMPORTED = [(2, "a", 1, "b", "K", None, 1), (3, "a", 2, "b", "K", None, 1), (4,
 
 @registered(_template_rows("line, kind, qualified_name", _SYMBOLS))
 def parsed_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return facts.relation(traced(spark, sf_dir).facts, "symbols").select("path", "line", "kind", "qualified_name")
+    return facts.relation(parsed(spark, sf_dir), "symbols").select("path", "line", "kind", "qualified_name")
 
 
 @registered(f"SELECT path, line, replace(module, '{{p}}', split_part(path, '/', 1)) AS module, imported_name, alias, level FROM ({_template_rows('line, module, imported_name, alias, level', _IMPORTED)})")
 def parsed_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return facts.relation(traced(spark, sf_dir).facts, "imports").select("path", "line", "module", "imported_name", "alias", "level")
+    return facts.relation(parsed(spark, sf_dir), "imports").select("path", "line", "module", "imported_name", "alias", "level")
 
 
 @registered(f"SELECT path, line, CASE WHEN target = '' THEN 'dynamic' WHEN target LIKE '%.%' THEN 'attribute' ELSE 'name' END AS target_kind, target FROM ({_EXPECTED})")
 def parsed_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return facts.relation(traced(spark, sf_dir).facts, "calls").select("path", "line", "target_kind", F.array_join("target_parts", ".").alias("target"))
+    return facts.relation(parsed(spark, sf_dir), "calls").select("path", "line", "target_kind", F.array_join("target_parts", ".").alias("target"))
 
 
 _N_IMPORTS = f"({_template_rows('line, module, imported_name, alias, level', _IMPORTED)})"
