@@ -1,4 +1,4 @@
-"""Command line: codequarry --project P [--architecture] [--report] [--trace] [--docs].
+"""Command line: codequarry --project P [--architecture] [--report] [--trace] [--docs], or codequarry P for a tree and a report.
 
 Exit codes: 0 done, 1 bad input, configuration or scan, 4 output cannot be written.
 """
@@ -13,6 +13,7 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 from codequarry.operators import config
+from codequarry.operators.shared import forget
 from codequarry.plans import reports, run
 from codequarry.sources.tree import ScanError
 
@@ -20,9 +21,11 @@ VERSION = "0.1.0"
 
 
 class Parser(argparse.ArgumentParser):
+    """Wrong arguments are bad input like any other: exit code 1."""
+
     def error(self, message: str):
-        self.print_usage(sys.stderr)
-        self.exit(1, f"{self.prog}: error: {message}\n")
+        print(self.format_usage() + message, file=sys.stderr)
+        raise SystemExit(1)
 
 
 def parser() -> Parser:
@@ -52,8 +55,11 @@ def ask_private(read: Callable[[str], str] = input) -> bool:
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None, consent: Callable[[], bool] = ask_private) -> int:
     options = parser()
+    given = sys.argv[1:] if argv is None else argv
+    if len(given) == 1 and not given[0].startswith("-"):
+        given = ["--project", given[0], "--architecture", "--report"]
     try:
-        args = options.parse_args(argv)
+        args = options.parse_args(given)
     except SystemExit as stop:
         return int(stop.code or 0)
     wanted = args.architecture or args.report or args.trace or args.docs
@@ -75,6 +81,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, conse
     if output.exists() and not output.is_dir():
         print(f"not a directory: {output}", file=sys.stderr)
         return 4
+    session = None
     try:
         rules = config.load(root, Path(args.registry).expanduser() if args.registry else None)
         session = spark or SparkSession.builder.appName("codequarry").getOrCreate()
@@ -93,6 +100,9 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, conse
     except OSError as error:
         print(f"output cannot be written: {error}", file=sys.stderr)
         return 4
+    finally:
+        if session is not None:
+            forget(session)
     return 0
 
 
@@ -102,7 +112,11 @@ def study(args: argparse.Namespace, spark: SparkSession, root: Path, name: str,
     if args.report or args.trace:
         found = run.evidence(entries, root)
         if args.report:
-            reports.write(output / f"{name}-project-report.md", run.report_text(found, name))
+            target = output / f"{name}-project-report.md"
+            for line in run.report_log(found):
+                print(line)
+            reports.write(target, run.report_text(found, name))
+            print("\n".join(run.summary_lines(found, target)))
         if args.trace:
             reports.write(output / f"{name}-trace.md", run.trace_text(run.trace(found.select("path", "language", "status", "content"))))
 

@@ -83,9 +83,15 @@ def registry_rules(text: str | None, root: Path) -> dict[str, list[str]]:
     return best[0][1] if best else empty
 
 
+def default_registry() -> Path:
+    """Where a personal registry is looked for: beside the package's code, and never written by it."""
+    return Path(__file__).resolve().parent.parent / "resources" / "personal_ignores.json"
+
+
 def load(root: Path, registry: Path | None = None) -> dict[str, list[str]]:
-    text = None
-    if registry is not None and registry.exists():
+    """The recommended rules and those of the registry; a registry that is not there adds nothing."""
+    registry, text = registry or default_registry(), None
+    if registry.exists():
         try:
             text = registry.read_text(encoding="utf-8")
         except (OSError, UnicodeDecodeError) as error:

@@ -26,20 +26,36 @@ def edges(imports: DataFrame, calls: DataFrame) -> DataFrame:
     return of_imports.unionByName(of_calls)
 
 
-def _index(found: DataFrame, path: str, symbol: str) -> DataFrame:
-    packed = F.expr(EDGE_ORDER)
-    grouped = found.where("kind = 'call' AND target_symbol IS NOT NULL").groupBy(F.col(path).alias("path"), F.col(symbol).alias("symbol"))
-    return grouped.agg(F.array_sort(F.collect_list(packed)).alias("edges"))
+def _edges(found: DataFrame, path: str, symbol: str) -> DataFrame:
+    rows = found.where("kind = 'call' AND target_symbol IS NOT NULL")
+    return rows.select(F.col(path).alias("path"), F.col(symbol).alias("symbol"), F.expr(EDGE_ORDER).alias("e")).select("path", "symbol", "e.*")
+
+
+def outbound_edges(found: DataFrame) -> DataFrame:
+    """(path, symbol, source_path, scope, line, target_path, target_symbol): confirmed calls, each by its caller."""
+    return _edges(found, "source_path", "scope")
+
+
+def inbound_edges(found: DataFrame) -> DataFrame:
+    """The same by what is called."""
+    return _edges(found, "target_path", "target_symbol")
+
+
+def _index(edges: DataFrame) -> DataFrame:
+    return edges.groupBy("path", "symbol").agg(F.array_sort(F.collect_list(F.struct("source_path", "scope", "line", "target_path", "target_symbol"))).alias("edges"))
 
 
 def outbound(found: DataFrame) -> DataFrame:
-    """(path, symbol, edges): confirmed calls by caller; a module's own calls have a null symbol."""
-    return _index(found, "source_path", "scope")
+    """(path, symbol, edges): confirmed calls by caller; a module's own calls have a null symbol.
+
+    An endpoint's edges are one row here; ``outbound_edges`` has them as rows.
+    """
+    return _index(outbound_edges(found))
 
 
 def inbound(found: DataFrame) -> DataFrame:
     """(path, symbol, edges): confirmed calls by callee."""
-    return _index(found, "target_path", "target_symbol")
+    return _index(inbound_edges(found))
 
 
 def counters(files: DataFrame, imports: DataFrame, calls: DataFrame, found: DataFrame) -> DataFrame:

@@ -9,8 +9,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codequarry.functions import patterns
+from codequarry.operators.shared import materialise
 
 NEVER = r"[^\s\S]"
+BROADCAST_RULES = 100_000
 
 
 def any_of(text: Column, expressions: list[str]) -> Column:
@@ -63,10 +65,12 @@ def ancestors(path: Column) -> Column:
 def gitignore_verdicts(entries: DataFrame, rules: DataFrame) -> DataFrame:
     """(path, is_directory, ignored) for the entries that some rule speaks of; the deepest rule set's last match decides.
 
-    An equi-join on ancestor directories stands in for a prefix join.
+    An equi-join on ancestor directories stands in for a prefix join.  The root's
+    rules are met by every entry, so rules are broadcast up to ``BROADCAST_RULES``.
     """
     above = entries.select("path", "is_directory", F.explode(ancestors(F.col("path"))).alias("base_dir"))
-    joined = above.join(rules, "base_dir")
+    rules = materialise(rules)
+    joined = above.join(F.broadcast(rules) if rules.count() <= BROADCAST_RULES else rules, "base_dir")
     inside = F.when(F.col("base_dir") == "", F.col("path")).otherwise(F.expr("substring(path, length(base_dir) + 2)"))
     whole = F.when(F.col("is_directory"), F.concat(inside, F.lit("/"))).otherwise(inside)
     hit = joined.withColumn("__whole", whole).where(F.expr("__whole rlike regex"))
@@ -80,7 +84,7 @@ def keep_reached(entries: DataFrame, excluded_directories: DataFrame) -> DataFra
     A rule set inside a pruned directory speaks only of what is pruned with it,
     so no level-by-level walk is needed.
     """
-    keyed = entries.select("*", F.explode(F.array_append(ancestors(F.col("path")), F.when(F.col("is_directory"), F.col("path")))).alias("__above"))
+    keyed = entries.select("*", F.explode(F.array_append(F.filter(ancestors(F.col("path")), lambda p: p != ""), F.when(F.col("is_directory"), F.col("path")))).alias("__above"))
     gone = keyed.join(excluded_directories.select(F.col("path").alias("__above")).distinct(), "__above", "left_semi").select("path", "is_directory").distinct()
     return entries.join(gone, ["path", "is_directory"], "left_anti")
 

@@ -12,8 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codequarry.functions.text import clean_text
+from codequarry.operators.config import validate_limit
 
-MOST_BYTES, SAMPLE = 8 * 1024 * 1024, 2048
+MOST_BYTES, SAMPLE, BATCH_BYTES = 8 * 1024 * 1024, 2048, 8 * 1024 * 1024
 UNSAFE = ("escaped_symlink", "outside_project", "path_mismatch")
 SCHEMA = "path string, status string, content string, resolved_path string, size_bytes long, is_symlink boolean, error_type string, error_message string"
 
@@ -75,15 +76,23 @@ def read_one(root: str, path: str, limit: int = MOST_BYTES) -> dict:
 def read_files(files: DataFrame, root: str, limit: int = MOST_BYTES) -> DataFrame:
     """``SCHEMA`` for every path of ``files``; the root has to be mounted where executors run.
 
-    One file at a time: a batch never holds more than its texts.
+    A batch is handed on as soon as its texts reach ``BATCH_BYTES``.
     """
+    limit = validate_limit(limit)
     types = {"string": pa.string(), "long": pa.int64(), "boolean": pa.bool_()}
     arrow = pa.schema([(f.split()[0], types[f.split()[1]]) for f in SCHEMA.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            rows, held = [], 0
             for path in batch.column(0).to_pylist():
-                yield pa.RecordBatch.from_pylist([read_one(root, path, limit)], schema=arrow)
+                rows.append(read_one(root, path, limit))
+                held += len(rows[-1]["content"] or "")
+                if held >= BATCH_BYTES:
+                    yield pa.RecordBatch.from_pylist(rows, schema=arrow)
+                    rows, held = [], 0
+            if rows:
+                yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
     return files.select("path").mapInArrow(run, SCHEMA).withColumn("content", clean_text(F.col("content")))
 

@@ -11,12 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 EXTENSIONS = (".py", ".d.ts", ".blade.php", ".C", ".h", ".TXT", ".md", "", ".c", ".tar.gz", ".pyi", ".Rs", ".j2")
 _EXTENSION = "CASE doc_id % 13 " + " ".join(f"WHEN {k} THEN '{e}'" for k, e in enumerate(EXTENSIONS)) + " END"
 
-#: path, content, size of every document; names in folders by language and source
+#: path and content of every document, in folders by language and source, and some blank files
 FILES_FROM_DOCUMENTS = f"""
 SELECT doc_id, coalesce(lang, 'none') || '/' || coalesce(source, 'none') || '/' ||
     CASE WHEN doc_id % 17 = 0 THEN 'Dockerfile' WHEN doc_id % 17 = 1 THEN 'GNUmakefile' WHEN doc_id % 17 = 2 THEN 'Build' ELSE 'd' || CAST(doc_id AS VARCHAR(20)) || {_EXTENSION} END AS path,
-  CASE WHEN doc_id % 29 = 0 THEN '  ' ELSE coalesce(text, '') || repeat('`', CAST(doc_id % 7 AS INT)) || chr(CAST(1 + doc_id % 31 AS INT)) END AS content
+  coalesce(text, '') || repeat('`', CAST(doc_id % 7 AS INT)) || chr(CAST(1 + doc_id % 31 AS INT)) AS content
 FROM documents
+UNION ALL SELECT -1 - doc_id, 'none/blank/b' || CAST(doc_id AS VARCHAR(20)) || '.md', '  ' FROM documents WHERE doc_id % 29 = 0
 """
 
 PATHS_FROM_PAGES = """

@@ -34,10 +34,11 @@ _RULES = "SELECT * FROM (VALUES " + ", ".join(
     f"('{lang.name}', '{kind}', '{key}')" for lang in language.languages().values() for kind, keys in (("basename", lang.basenames), ("exact", lang.exact_suffixes), ("folded", lang.suffixes)) for key in keys
 ) + ") AS r(language, kind, key)"
 _CLASSIFIED = f"""
-SELECT f.doc_id, f.path, f.content, coalesce(max(CASE WHEN kind = 'basename' THEN language END), max_by(language, length(key)) FILTER (kind = 'exact'), max_by(language, length(key)) FILTER (kind = 'folded'), 'unknown') AS language
-FROM (SELECT *, split_part(path, '/', 3) AS name FROM ({b.FILES_FROM_DOCUMENTS}) AS x) f
-LEFT JOIN ({_RULES}) AS r ON (kind = 'basename' AND lower(name) = key) OR (kind = 'exact' AND ends_with(name, key)) OR (kind = 'folded' AND ends_with(lower(name), key))
-GROUP BY f.doc_id, f.path, f.content
+SELECT doc_id, path, content, CASE WHEN name = 'Dockerfile' THEN 'dockerfile' WHEN name = 'GNUmakefile' THEN 'makefile' WHEN name = 'Build' THEN 'starlark'
+    WHEN ends_with(name, '.d.ts') THEN 'typescript' WHEN ends_with(name, '.blade.php') THEN 'blade' WHEN ends_with(name, '.C') THEN 'cpp' WHEN ends_with(name, '.py') OR ends_with(name, '.pyi') THEN 'python'
+    WHEN ends_with(name, '.c') THEN 'c' WHEN ends_with(name, '.TXT') THEN 'plain_text' WHEN ends_with(name, '.md') THEN 'markdown' WHEN ends_with(name, '.Rs') THEN 'rust'
+    WHEN ends_with(name, '.j2') THEN 'jinja' ELSE 'unknown' END AS language
+FROM (SELECT *, split_part(path, '/', 3) AS name FROM ({b.FILES_FROM_DOCUMENTS}) AS x)
 """
 _LABELS = "CASE language " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in language.FENCE_LABELS.items()) + " ELSE language END"
 _RUN = "list_max(list_transform(regexp_extract_all(content, '`+'), lambda x: length(x)))"
@@ -88,8 +89,10 @@ def report_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("path", F.md5(F.col("section").cast("binary")).alias("digest"), F.char_length("section").cast("long").alias("n"))
 
 
-LIMIT = 4096
-_READ = "SELECT doc_id, 'd' || CAST(doc_id AS VARCHAR(20)) AS path, coalesce(text, '') AS content, doc_id % 9 = 0 AS has_nul FROM documents"
+LIMIT = reading.MOST_BYTES
+#: documents, some with a NUL before the text, and a few texts one byte above the limit
+_READ = f"""SELECT doc_id, 'd' || CAST(doc_id AS VARCHAR(20)) AS path, coalesce(text, '') AS content, doc_id % 9 = 0 AS has_nul FROM documents
+  UNION ALL SELECT -1 - doc_id, 'long' || CAST(doc_id AS VARCHAR(20)), repeat('x', {LIMIT + 1}), false FROM documents WHERE doc_id % 5000 = 7"""
 _SIZE = "octet_length(encode(content)) + CASE WHEN has_nul THEN 1 ELSE 0 END"
 _STATUS = f"CASE WHEN has_nul THEN 'binary' WHEN {_SIZE} > {LIMIT} THEN 'oversized' ELSE 'text' END"
 
@@ -125,14 +128,6 @@ FOLDER_RULES, FILE_RULES = ["d?", "*.egg-info", "[!ef]r", "fr/1*/", "/es/2"], ["
 _PARENT = "CASE WHEN path LIKE '%/%' THEN regexp_extract(path, '^(.*)/[^/]*$', 1) ELSE '' END"
 
 
-def _glob(column: str, rules: list[str]) -> str:
-    return " OR ".join(f"regexp_matches({column}, '{patterns.glob_regex(r)}')" for r in rules if "/" not in r)
-
-
-def _path_rules(column: str, rules: list[str]) -> str:
-    return " OR ".join(f"regexp_matches({column}, '{patterns.gitignore_rule(r, literal_start=True).regex}')" for r in rules if "/" in r)
-
-
 @registered(f"SELECT page_id, {_PARENT} AS parent, split_part(path, '/', -1) AS name, length(path) - length(replace(path, '/', '')) AS depth FROM ({b.PATHS_FROM_PAGES})")
 def parent_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = b.bound(spark, sf_dir, b.PATHS_FROM_PAGES)
@@ -144,7 +139,8 @@ def policy_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.bound(spark, sf_dir, b.PATHS_FROM_PAGES).select("page_id", paths.policy_path(F.col("path"), "\\docs\\public/").alias("policy"))
 
 
-@registered(f"SELECT page_id, ({_glob('a', FOLDER_RULES)}) AS folder, ({_glob('z', FILE_RULES)}) AS file FROM (SELECT page_id, split_part(path, '/', 1) AS a, split_part(path, '/', -1) AS z FROM ({b.PATHS_FROM_PAGES}))")
+@registered(f"""SELECT page_id, (length(a) = 2 AND a LIKE 'd%') OR a LIKE '%.egg-info' OR (length(a) = 2 AND ends_with(a, 'r') AND left(a, 1) NOT IN ('e', 'f')) AS folder,
+  z LIKE '1%' OR z LIKE '%9' OR (left(z, 1) IN ('2', '3', '4') AND substr(z, 2, 1) = '5') OR z = '!fr' AS file FROM (SELECT page_id, split_part(path, '/', 1) AS a, split_part(path, '/', -1) AS z FROM ({b.PATHS_FROM_PAGES}))""")
 def ignore_basename(spark: SparkSession, sf_dir: str) -> DataFrame:
     folders, files = (ignore.IgnoreRules.of([r for r in rules if "/" not in r]) for rules in (FOLDER_RULES, FILE_RULES))
     rows = b.bound(spark, sf_dir, b.PATHS_FROM_PAGES)
@@ -492,8 +488,19 @@ def tree_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """This package's own tree through the data source."""
     from pathlib import Path
 
-    root = Path(__file__).resolve().parent
-    return tree.entries(spark, str(root), ["__pycache__"]).select("path", "name", "is_directory", "is_symlink")
+    root = Path(__file__).resolve().parent.parent
+    return tree.entries(spark, str(root), [patterns.glob_regex("__pycache__")]).select("path", "name", "is_directory", "is_symlink")
+
+
+#: fixed values: languages that are registered without any rule for paths
+_NO_PATHS = "('matlab', 'objective_c', 'solidity', 'tsql', 'unknown', 'verilog')"
+
+
+@registered(f"SELECT language, language NOT IN {_NO_PATHS} AS recognised FROM (VALUES " + ", ".join(f"('{name}')" for name in language.languages()) + ") AS t(language)")
+def path_recognised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every registered language, whether some path is taken for it."""
+    rows = ", ".join(f"('{k.name}', {str(k.recognised_by_path).lower()})" for k in language.languages().values())
+    return spark.sql(f"SELECT * FROM VALUES {rows} AS t(language, recognised)")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,11 +1,12 @@
 """Reports as ordered lines.
 
-Every report is a DataFrame with its order in columns; ``text`` joins it on the
-driver only when a single file is asked for, partition by partition.
+Every report is a DataFrame with its order in columns; ``pieces`` hands it to a
+single file, when one is asked for, partition by partition.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
@@ -80,10 +81,10 @@ def trace_lines(files: DataFrame, imports: DataFrame, calls: DataFrame) -> DataF
     parts: list[tuple[str, DataFrame]] = [
         ("Summary", numbers.select(F.array("p").alias("key"), "line")),
         ("Confirmed internal dependencies", found.select(edge_key.alias("key"), edge.alias("line"))),
-        ("Confirmed calls by caller", _indexed(graph.outbound(found), lambda e: F.concat(F.lit("  - CALLS "), _code(e["target_path"], "::", e["target_symbol"]), F.lit(" (line "), e["line"].cast("string"), F.lit(")")))),
+        ("Confirmed calls by caller", _indexed(graph.outbound_edges(found), F.concat(F.lit("  - CALLS "), _code(F.col("target_path"), "::", F.col("target_symbol")), F.lit(" "), line_no, F.lit(")")))),
         (
             "Confirmed calls by callee",
-            _indexed(graph.inbound(found), lambda e: F.concat(F.lit("  - CALLED BY "), _code(e["source_path"], "::", F.when(e["scope"] == "", MODULE).otherwise(e["scope"])), F.lit(" (line "), e["line"].cast("string"), F.lit(")"))),
+            _indexed(graph.inbound_edges(found), F.concat(F.lit("  - CALLED BY "), _code(F.col("source_path"), "::", F.when(F.col("scope") == "", MODULE).otherwise(F.col("scope"))), F.lit(" "), line_no, F.lit(")"))),
         ),
         ("Unresolved imports", _where(imports, "unresolved", evidence, _says(at, "requested ", asked))),
         ("Ambiguous imports", _where(imports, "ambiguous", evidence, _says(at, "requested ", asked, "; candidates: ", paths))),
@@ -115,21 +116,30 @@ def _where(rows: DataFrame, status: str, key: Column, line: Column) -> DataFrame
     return rows.where(F.col("status") == status).select(key.alias("key"), line.alias("line"))
 
 
-def _indexed(index: DataFrame, item) -> DataFrame:
-    """An endpoint's line and, below it, one line an edge."""
+def _indexed(edges: DataFrame, item: Column) -> DataFrame:
+    """An endpoint's line and, below it, one line an edge; each is a row of its own, whatever the number of edges."""
     head = _says(_code(F.col("path"), "::", F.coalesce("symbol", F.lit(MODULE))))
-    lines = F.concat(F.array(head), F.transform("edges", item))
-    exploded = index.select("path", F.coalesce("symbol", F.lit("")).alias("symbol"), F.posexplode(lines).alias("n", "line"))
-    return exploded.select(F.array("path", "symbol", F.lpad(F.col("n").cast("string"), 10, "0")).alias("key"), "line")
+    place = F.array("path", F.coalesce("symbol", F.lit("")))
+    heads = edges.select("path", "symbol").distinct().select(F.concat(place, F.array(F.lit("0"))).alias("key"), head.alias("line"))
+    order = F.array(F.lit("1"), "source_path", "scope", F.lpad(F.col("line").cast("string"), 10, "0"), "target_path", "target_symbol")
+    return heads.unionByName(edges.select(F.concat(place, order).alias("key"), item.alias("line")))
 
 
-def text(rows: DataFrame, order: list[str], column: str, separator: str) -> str:
-    """All of a report in one string; partitions come one after another."""
-    return separator.join(row[0] for row in rows.orderBy(*order).select(column).toLocalIterator())
+def pieces(rows: DataFrame, order: list[str], column: str, separator: str) -> Iterator[str]:
+    """A report's parts in order; the driver holds one partition at a time."""
+    for number, row in enumerate(rows.orderBy(*order).select(column).toLocalIterator()):
+        if number:
+            yield separator
+        yield row[0]
 
 
-def write(path: Path, content: str) -> None:
-    """UTF-8 with plain line feeds."""
+def write(path: Path, parts: Iterable[str]) -> None:
+    """UTF-8 with plain line feeds; the file takes its name when it is whole."""
     path.parent.mkdir(parents=True, exist_ok=True)
-    with path.open("w", encoding="utf-8", newline="\n") as file:
-        file.write(content)
+    unfinished = path.with_name(f".{path.name}.part")
+    try:
+        with unfinished.open("w", encoding="utf-8", newline="\n") as file:
+            file.writelines(parts)
+        unfinished.replace(path)
+    finally:
+        unfinished.unlink(missing_ok=True)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from pathlib import Path
 
@@ -28,17 +28,27 @@ class DocumentationError(Exception):
 
 def scan(spark: SparkSession, root: Path, rules: dict[str, list[str]], outputs: tuple[Path, ...] = (), gitignore: bool = True, prefix: str | None = None) -> DataFrame:
     """Entries (path, name, is_directory, is_symlink, ord_key) that the rules leave."""
-    plain = [r for r in rules[config.FOLDERS] if "/" not in r and not set(r) & set("*?[")]
-    found = materialise(tree.entries(spark, str(root), plain))
     folders, files = ignore.IgnoreRules.of(rules[config.FOLDERS]), ignore.IgnoreRules.of(rules[config.FILES])
+    found = materialise(tree.entries(spark, str(root), folders.names, folders.paths, prefix))
     inside = tuple(o.resolve().relative_to(root).as_posix() for o in outputs if o.resolve().is_relative_to(root) and o.resolve() != root)
     policy = policy_path(F.col("path"), prefix)
     first = ignore.prune(found, folders, files, None, policy, inside)
     if gitignore:
         # configured exclusion first: a gitignore file in an excluded directory is never read
-        lines = tree.gitignore_lines(spark, first, str(root))
-        first = ignore.prune(first, folders, files, ignore.gitignore_rules(lines), policy, inside)
-    return materialise(tree.ordered(first))
+        lines = materialise(tree.gitignore_lines(first, str(root)))
+        rules_of = ignore.gitignore_rules(lines.where("error IS NULL"))
+        first = materialise(ignore.prune(first, folders, files, rules_of, policy, inside))
+        # nor does it matter if one in a directory that gitignore rules exclude cannot be read
+        reached = first.where("is_directory").select(F.col("path").alias("base_dir")).unionByName(spark.range(1).select(F.lit("").alias("base_dir")))
+        _refuse(lines.where("error IS NOT NULL").join(reached, "base_dir", "left_semi").select("base_dir", "error"))
+    _refuse(first.where("error IS NOT NULL").select(F.col("path").alias("base_dir"), "error"))
+    return materialise(tree.ordered(first.drop("error")))
+
+
+def _refuse(errors: DataFrame) -> None:
+    first = errors.orderBy("base_dir").first()
+    if first:
+        raise tree.ScanError(first["error"])
 
 
 def evidence(entries: DataFrame, root: Path, limit: int = reading.MOST_BYTES) -> DataFrame:
@@ -65,16 +75,38 @@ def trace(files: DataFrame) -> Trace:
     return Trace(files, found, resolved, materialise(of_calls))
 
 
-def trace_text(made: Trace) -> str:
-    return reports.text(reports.trace_lines(made.files, made.imports, made.calls), ["section", "key"], "line", "\n") + "\n"
+def trace_text(made: Trace) -> Iterator[str]:
+    yield from reports.pieces(reports.trace_lines(made.files, made.imports, made.calls), ["section", "key"], "line", "\n")
+    yield "\n"
+
+
+def architecture_text(entries: DataFrame, name: str) -> Iterator[str]:
+    yield "# Project Architecture\n\n"
+    yield from reports.pieces(reports.architecture_lines(entries, name), ["ord_key"], "line", "\n")
+
+
+def report_text(found: DataFrame, name: str, title: str = "Project Report", source_root: str | None = None) -> Iterator[str]:
+    yield reports.report_head(title, name, source_root)
+    yield from reports.pieces(reports.source_sections(found), ["ord_key"], "section", "")
+
+
+def report_log(found: DataFrame) -> Iterator[str]:
+    """What a report says of every file, in order."""
+    line = reading.log_line(F.col("path"), F.col("status"), F.col("size_bytes"), F.col("error_type"), F.col("error_message"))
+    return (row[0] for row in found.select("ord_key", line.alias("line")).orderBy("ord_key").select("line").toLocalIterator())
 
 
-def architecture_text(entries: DataFrame, name: str) -> str:
-    return "# Project Architecture\n\n" + reports.text(reports.architecture_lines(entries, name), ["ord_key"], "line", "\n")
+SUMMARY = {
+    "Added text files": "added_files", "Skipped ignored files": "skipped_ignored_files", "Skipped binary files": "skipped_binary_files", "Skipped oversized files": "skipped_oversized_files",
+    "Skipped unreadable files": "skipped_unreadable_files", "Skipped symlink files": "skipped_symlink_files", "Skipped unsafe-path files": "skipped_unsafe_path_files",
+    "Skipped markdown-error files": "skipped_markdown_error_files",
+}
 
 
-def report_text(found: DataFrame, name: str, title: str = "Project Report", source_root: str | None = None) -> str:
-    return reports.report_head(title, name, source_root) + reports.text(reports.source_sections(found), ["ord_key"], "section", "")
+def summary_lines(found: DataFrame, target: Path) -> list[str]:
+    """The eight counters of a source report, and where it is."""
+    counts = reading.summary(found).first()
+    return ["", "Report summary:", *(f"  {label}: {counts[key]}" for label, key in SUMMARY.items()), f"  Report saved to: {target}"]
 
 
 @dataclass(frozen=True)
@@ -120,8 +152,7 @@ def documentation(spark: SparkSession, root: Path, output: Path, rules: dict[str
 def documentation_lines(scopes: list[Scope]) -> list[str]:
     """What a documentation run says at its end."""
     out = ["Documentation report summary:"]
-    counted = {"Added text files": "added_files", "Skipped binary files": "skipped_binary_files", "Skipped oversized files": "skipped_oversized_files", "Skipped unreadable files": "skipped_unreadable_files"}
-    counted |= {"Skipped symlink files": "skipped_symlink_files", "Skipped unsafe-path files": "skipped_unsafe_path_files", "Skipped markdown-error files": "skipped_markdown_error_files"}
+    counted = {label: key for label, key in SUMMARY.items() if key != "skipped_ignored_files"}
     for scope in scopes:
         out.append(f"  docs/{scope.name}/: {'found' if scope.exists else 'not found'}")
         if scope.ignored:

@@ -11,7 +11,8 @@ import ast
 import symtable
 import warnings
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -269,27 +270,49 @@ def file_facts(path: str, language: str | None, status: str | None, content: str
         return row | {"status": "non_text_source"}
     if content is None:
         return row | {"status": "invalid_text_evidence", "error_type": "InvalidTextEvidence", "error_message": "a text result has no content"}
-    if language != "python":
+    parser = PARSERS.get(language or "")
+    if parser is None:
         return row | {"status": "unsupported_language"}
-    row["parser_id"] = PARSER_ID
+    row["parser_id"] = parser.identifier
     try:
-        with warnings.catch_warnings():
-            warnings.simplefilter("ignore")
-            tree = ast.parse(content, filename=path, type_comments=True)
-            walk = Walk(tree)
-            wanted: set[tuple[str | None, str]] = {(c["scope"], c["target_parts"][0]) for c in walk.rows["calls"] if c["scope"] and c["target_parts"]}
-            for i in walk.rows["imports"]:
-                wanted.add((i["scope"], i["alias"] or i["imported_name"] or i["module"]))
-            walk.rows["flags"] = symbol_flags(content, path, wanted)
+        found = parser.parse(path, content)
     except (SyntaxError, ValueError, RecursionError, MemoryError) as error:
         return row | {"status": "syntax_error", "error_type": "SyntaxError", "error_message": getattr(error, "msg", None) or str(error), "error_line": getattr(error, "lineno", None)}
-    return row | {"status": "parsed"} | walk.rows
+    return row | {"status": "parsed"} | found
+
+
+def parse_python(path: str, content: str) -> dict[str, list[dict]]:
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        walk = Walk(ast.parse(content, filename=path, type_comments=True))
+        wanted: set[tuple[str | None, str]] = {(c["scope"], c["target_parts"][0]) for c in walk.rows["calls"] if c["scope"] and c["target_parts"]}
+        for i in walk.rows["imports"]:
+            wanted.add((i["scope"], i["alias"] or i["imported_name"] or i["module"]))
+        walk.rows["flags"] = symbol_flags(content, path, wanted)
+    return walk.rows
+
+
+@dataclass(frozen=True)
+class Parser:
+    """How sources of a language become the rows of ``RELATIONS``; a syntax error is raised as one."""
+
+    identifier: str
+    parse: Callable[[str, str], dict[str, list[dict]]]
+
+
+#: Parsers by language: another language is one more entry.
+PARSERS: dict[str, Parser] = {"python": Parser(PARSER_ID, parse_python)}
 
 
 def facts(files: DataFrame) -> DataFrame:
     """One row of facts per file of (path, language, status, content)."""
 
+    parsers = dict(PARSERS)  # as registered on the driver
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from codequarry.sources import facts as here
+
+        here.PARSERS.update(parsers)
         for batch in batches:
             for low in range(0, batch.num_rows, 64):
                 rows = [file_facts(*values) for values in zip(*(c.to_pylist() for c in batch.slice(low, 64).columns), strict=True)]

@@ -27,4 +27,6 @@ def test_every_query_is_registered_once():
 
 def test_trace_report_and_tree(spark, sf_dir):
     assert evidence.queries()["trace_report"](spark, sf_dir).count() > 0
-    assert {r.path for r in evidence.queries()["tree_scan"](spark, sf_dir).collect()} >= {"evidence.py", "run.py"}
+    assert {r.path for r in evidence.queries()["tree_scan"](spark, sf_dir).collect()} >= {"plans", "plans/evidence.py", "cli.py"}
+    found = {r.language: r.recognised for r in evidence.queries()["path_recognised"](spark, sf_dir).collect()}
+    assert len(found) == 104 and sum(found.values()) == 98 and found["python"] and not found["matlab"]

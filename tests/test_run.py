@@ -6,11 +6,13 @@ import json
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from codequarry import cli
 from codequarry.functions import language, patterns
 from codequarry.operators import config, ignore, reading
 from codequarry.plans import run
-from codequarry.sources import facts
+from codequarry.sources import facts, tree
 
 
 @pytest.fixture
@@ -62,6 +64,84 @@ def test_command_line_refuses(spark, project, tmp_path, capsys):
     assert cli.main(["--project", str(project), "--trace", "--output", str(tmp_path / "taken")], spark) == 4
 
 
+def test_report_says_what_it_did(spark, project, tmp_path, capsys):
+    out = tmp_path / "out"
+    assert cli.main([str(project), "--report"], spark) == 1
+    assert cli.main(["--project", str(project), "--report", "--output", str(out)], spark) == 0
+    said = capsys.readouterr().out.splitlines()
+    assert "[ADD] pkg/a.py" in said and "[SKIP binary] blob.bin" in said and "[SKIP symlink] link.txt" in said
+    at = said.index("Report summary:")
+    texts = [line for line in said if line.startswith("[ADD] ")]
+    wanted = {"Added text files": len(texts), "Skipped ignored files": 0, "Skipped binary files": 1, "Skipped oversized files": 0, "Skipped unreadable files": 0, "Skipped symlink files": 1}
+    wanted |= {"Skipped unsafe-path files": 0, "Skipped markdown-error files": 0, "Report saved to": out / "proj" / "proj-project-report.md"}
+    assert said[at + 1 :] == [f"  {label}: {value}" for label, value in wanted.items()]
+
+
+def test_oversized_files_are_told(spark, tmp_path, capsys):
+    root = tmp_path / "big"
+    root.mkdir()
+    (root / "a.txt").write_text("x" * (reading.MOST_BYTES + 1))
+    (root / "b.txt").write_text("small")
+    assert cli.main(["--project", str(root), "--report", "--output", str(tmp_path / "out")], spark) == 0
+    said = capsys.readouterr().out
+    assert f"[SKIP oversized] a.txt -> {reading.MOST_BYTES + 1} bytes" in said and "  Skipped oversized files: 1" in said
+    assert "small" in (tmp_path / "out" / "big" / "big-project-report.md").read_text()
+
+
+def test_positional_form_writes_tree_and_report(spark, project, tmp_path, monkeypatch):
+    monkeypatch.chdir(tmp_path)
+    assert cli.main([str(project)], spark) == 0
+    assert {p.name for p in (tmp_path / "reports" / "proj").iterdir()} == {"proj-architecture.md", "proj-project-report.md"}
+
+
+def test_a_rule_file_that_cannot_be_read_ends_the_scan(spark, project, tmp_path, capsys):
+    run_ = lambda: cli.main(["--project", str(project), "--architecture", "--output", str(tmp_path / "out")], spark)
+    (project / "build" / ".gitignore").write_bytes(b"\xff\xfe\xff")
+    assert run_() == 0  # within what the root's rules exclude
+    (project / "pkg" / ".gitignore").write_bytes(b"\xff\xfe\xff")
+    assert run_() == 1 and "pkg/.gitignore cannot be read" in capsys.readouterr().err
+
+
+def test_a_folder_that_cannot_be_listed(spark, project, tmp_path, monkeypatch):
+    rows = {"pkg": "pkg cannot be listed: no", "build": "build cannot be listed: no"}
+    listed = tree.entries
+    spoiled = lambda *a, **k: listed(*a, **k).withColumn("error", F.coalesce("error", *[F.when(F.col("path") == p, m) for p, m in rows.items()]))
+    monkeypatch.setattr(run.tree, "entries", spoiled)
+    assert cli.main(["--project", str(project), "--architecture", "--output", str(tmp_path / "out")], spark) == 1
+    del rows["pkg"]
+    assert cli.main(["--project", str(project), "--architecture", "--output", str(tmp_path / "out")], spark) == 0
+    reader = tree.TreeReader(str(project / "absent"), {}, "")
+    assert reader._entry("x")[0][4] is None and tree.TreeReader(str(project), {"names": ["^pkg$"], "paths": []}, "")._entry("pkg")[1] == []
+    with pytest.raises(tree.ScanError):
+        tree.entries(spark, str(project / "absent"))
+
+
+def test_output_within_the_project_is_no_evidence(spark, project):
+    for _ in range(2):
+        assert cli.main(["--project", str(project), "--architecture", "--output", str(project / "made")], spark) == 0
+        assert "proj-architecture" not in (project / "made" / "proj" / "proj-architecture.md").read_text()
+
+
+def test_default_registry(spark, project, tmp_path, monkeypatch):
+    registry = tmp_path / "personal_ignores.json"
+    registry.write_text(json.dumps({"schema_version": 1, "projects": {"proj": {"IGNORE_FILES": ["*.md"]}}}))
+    monkeypatch.setattr(config, "default_registry", lambda: registry)
+    assert "*.md" in config.load(project)[config.FILES]
+    assert config.load(project, tmp_path / "absent.json") == config.merged(config.RECOMMENDED)
+
+
+def test_another_parser(spark, monkeypatch):
+    nothing = {name: [] for name in facts.RELATIONS}
+    symbol = {"ord": 0, "name": "x", "qualified_name": "x", "kind": "function", "line": 1, "end_line": 1, "in_body": True, "decorated": False}
+    monkeypatch.setitem(facts.PARSERS, "text", facts.Parser("words", lambda path, content: nothing | {"symbols": [symbol | {"name": content}]}))
+    rows = spark.createDataFrame([("a.txt", "text", "text", "hello"), ("b.c", "c", "text", "x"), ("c.py", "python", "binary", None), ("d.py", "python", "text", None)], "path string, language string, status string, content string")
+    found = facts.facts(rows)
+    assert {r.path: (r.status, r.parser_id) for r in facts.outcomes(found).collect()} == {
+        "a.txt": ("parsed", "words"), "b.c": ("unsupported_language", None), "c.py": ("non_text_source", None), "d.py": ("invalid_text_evidence", None)
+    }
+    assert [r.name for r in facts.relation(found, "symbols").collect()] == ["hello"]
+
+
 def test_calls_of_a_tree(spark, project):
     found = run.evidence(run.scan(spark, project, {config.FOLDERS: [], config.FILES: []}), project)
     made = run.trace(found.select("path", "language", "status", "content"))
