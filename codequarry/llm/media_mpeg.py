@@ -7,11 +7,13 @@ silence), is protected by the format's CRC-16, and stands behind an ID3v2 tag
 with the unpadded length and a Xing table of frame count, byte count and 100
 seek points.
 
-``inspect`` works on any MPEG-1/2/2.5 Layer I-III bytes.  It parses ID3v2 and
-ID3v1 tags and Xing, Info and VBRI tables, finds frame headers again after
-foreign bytes (a header counts only if another one, or the end, stands where its
-length says), verifies CRCs, and gives the exact duration (samples and rate) and
-the byte offset of every frame for seeking.
+``inspect`` works on any MPEG-1/2/2.5 Layer I-III bytes.  It parses ID3v2.2 to
+2.4 tags (unsynchronised ones too), an ID3v1 tag where the frames end, and Xing,
+Info and VBRI tables with an encoder's delay and padding, finds frame headers
+again after foreign bytes (a header counts only if another one, or the end,
+stands where its length says), verifies the CRCs of all three layers, and gives
+the exact duration (samples less delay and padding, and rate) and the byte offset
+of every frame for seeking.
 
 Defined results: null text is empty and becomes one frame of 255s; null or
 foreign media have no frames and duration 0; repeated rows give equal values; an
@@ -61,6 +63,7 @@ class Header:
     mono: bool
     samples: int
     length: int
+    bound: int  # subbands below it have a channel each
 
     @property
     def side(self) -> int:
@@ -80,7 +83,8 @@ def header(four: bytes) -> Header | None:
     bitrate, rate, padding = _BITRATES["1" if version == 3 else "2", layer][rates - 1] * 1000, _RATES[version][rate_index], four[2] >> 1 & 1
     samples = 384 if layer == 1 else 576 if layer == 3 and version != 3 else 1152
     length = (12 * bitrate // rate + padding) * 4 if layer == 1 else samples // 8 * bitrate // rate + padding
-    return Header(_VERSION[version], layer, not four[1] & 1, bitrate, rate, four[3] >> 6 == 3, samples, length)
+    bound = 4 * (four[3] >> 4 & 3) + 4 if four[3] >> 6 == 1 else 32
+    return Header(_VERSION[version], layer, not four[1] & 1, bitrate, rate, four[3] >> 6 == 3, samples, length, bound)
 
 
 def _crc_table() -> list[int]:
@@ -104,6 +108,43 @@ def crc16(data: bytes) -> int:
     return value
 
 
+def _crc_of_bits(data: bytes, bits: int) -> int:
+    value = crc16(data[: bits // 8])
+    for k in range(bits // 8 * 8, bits):
+        bit = data[k // 8] >> (7 - k % 8) & 1
+        value = (value << 1 ^ 0x8005 if (value >> 15) ^ bit else value << 1) & 0xFFFF
+    return value
+
+
+def _allocation(head: Header) -> list[int]:
+    """Layer II: bits that each subband's allocation takes; fixed values of the standard's tables."""
+    if head.version != "1":
+        return [4] * 4 + [3] * 7 + [2] * 19
+    each = head.bitrate // (1 if head.mono else 2) // 1000
+    if each <= 48:
+        return [4] * 2 + [3] * (10 if head.rate == 32000 else 6)
+    return [4] * 11 + [3] * 12 + [2] * (4 if each <= 80 or head.rate == 48000 else 7)
+
+
+def checksum_right(frame: bytes, head: Header) -> bool:
+    """If a protected frame's CRC is that of its header and of what its layer protects."""
+    body, channels = frame[6:], 1 if head.mono else 2
+    if head.layer == 3:
+        bits = 8 * head.side
+    elif head.layer == 1:
+        bits = 4 * (32 if head.mono else head.bound * 2 + 32 - head.bound)
+    else:
+        bits = chosen = 0
+        for subband, width in enumerate(_allocation(head)):
+            for _ in range(channels if subband < head.bound else 1):
+                used = int.from_bytes(body[bits // 8 : bits // 8 + 2].ljust(2, b"\0"), "big") << bits % 8 & 0xFFFF
+                # above the bound one allocation stands for both channels, and each has its selection
+                chosen += (used >> (16 - width) > 0) * (1 if subband < head.bound else channels)
+                bits += width
+        bits += 2 * chosen
+    return len(body) * 8 >= bits and _crc_of_bits(frame[2:4] + body, 16 + bits) == frame[4] << 8 | frame[5]
+
+
 def _syncsafe(number: int) -> bytes:
     return bytes(number >> shift & 0x7F for shift in (21, 14, 7, 0))
 
@@ -147,7 +188,8 @@ class Inspection:
 
     @property
     def duration_us(self) -> int:
-        return self.samples * 1_000_000 // self.rate if self.rate else 0
+        heard = max(0, self.samples - self.table.get("delay", 0) - self.table.get("padding", 0))
+        return heard * 1_000_000 // self.rate if self.rate else 0
 
 
 def _read_id3(data: bytes, tags: dict[str, str]) -> int:
@@ -155,23 +197,27 @@ def _read_id3(data: bytes, tags: dict[str, str]) -> int:
     if data[:3] != b"ID3" or len(data) < 10:
         return 0
     safe = lambda b: b[0] << 21 | b[1] << 14 | b[2] << 7 | b[3]
-    major, size = data[3], safe(data[6:10])
-    at, end = 10, min(len(data), 10 + size)
-    if data[5] & 0x40 and at + 4 <= end:
-        at += safe(data[at : at + 4]) if major == 4 else 4 + int.from_bytes(data[at : at + 4], "big")
-    while at + 10 <= end and data[at]:
-        name = data[at : at + 4].decode("latin-1")
-        length = safe(data[at + 4 : at + 8]) if major == 4 else int.from_bytes(data[at + 4 : at + 8], "big")
-        content = data[at + 10 : min(end, at + 10 + length)]
+    major, flags, size = data[3], data[5], safe(data[6:10])
+    body, at = data[10 : 10 + size], 0
+    if flags & 0x80:
+        body = body.replace(b"\xff\x00", b"\xff")
+    if flags & 0x40 and major > 2:
+        at = safe(body[:4].ljust(4, b"\0")) if major == 4 else 4 + int.from_bytes(body[:4], "big")
+    # lengths of a name, of a size, and of all that stands before the content
+    letters, width, start = (3, 3, 6) if major == 2 else (4, 4, 10)
+    while at + start <= len(body) and body[at]:
+        name, given = body[at : at + letters].decode("latin-1"), body[at + letters : at + letters + width]
+        length = safe(given) if major == 4 else int.from_bytes(given, "big")
+        content = body[at + start : at + start + length]
         if name.startswith("T") and content:
             kind = {0: "latin-1", 1: "utf-16", 2: "utf-16-be", 3: "utf-8"}.get(content[0], "latin-1")
             parts = content[1:].decode(kind, "replace").split("\x00")
-            if name == "TXXX":
+            if name in ("TXXX", "TXX"):
                 tags[f"TXXX:{parts[0]}"] = parts[1] if len(parts) > 1 else ""
             else:
                 tags[name] = parts[0]
-        at += 10 + length
-    return min(len(data), 10 + size + (10 if data[5] & 0x10 else 0))
+        at += start + length
+    return min(len(data), 10 + size + (10 if flags & 0x10 else 0))
 
 
 def _read_table(frame: bytes, head: Header, found: Inspection) -> bool:
@@ -187,7 +233,10 @@ def _read_table(frame: bytes, head: Header, found: Inspection) -> bool:
         if flags & 4:
             found.seek_table, at = list(frame[at : at + 100]), at + 100
         if flags & 8:
-            found.table["quality"] = int.from_bytes(frame[at : at + 4], "big")
+            found.table["quality"], at = int.from_bytes(frame[at : at + 4], "big"), at + 4
+        if len(frame) >= at + 24 and frame[at : at + 4].isalnum():  # an encoder's name; delay and padding have 12 bits each
+            three = int.from_bytes(frame[at + 21 : at + 24], "big")
+            found.table |= {"delay": three >> 12, "padding": three & 0xFFF}
         return True
     if head.layer == 3 and frame[36:40] == b"VBRI" and len(frame) >= 62:
         _, _, quality, size, frames, entries, scale, width, per = struct.unpack(">HHHIIHHHH", frame[40:62])
@@ -203,10 +252,8 @@ def inspect_bytes(data: bytes | None) -> Inspection:
     if not data:
         return found
     at, end = _read_id3(data, found.tags), len(data)
-    if data[-128:-125] == b"TAG" and end >= 128:
-        end -= 128
-        for name, low, high in (("title", 3, 33), ("artist", 33, 63), ("album", 63, 93), ("year", 93, 97)):
-            found.tags.setdefault(f"v1:{name}", data[end + low : end + high].split(b"\x00")[0].decode("latin-1").strip())
+    # bytes that read TAG are a tag only where the frames before them end
+    tail = end - 128 if data[-128:-125] == b"TAG" and end >= 128 else -1
     kind, first, synced = None, True, False
     while at + 4 <= end:
         head = header(data[at : at + 4])
@@ -215,7 +262,12 @@ def inspect_bytes(data: bytes | None) -> Inspection:
             # after foreign bytes a header needs a second one, or the end, behind its frame
             after = at + head.length
             follow = header(data[after : after + 4])
-            good = after == end or follow is not None and (follow.version, follow.layer, follow.rate) == (head.version, head.layer, head.rate)
+            good = after in (end, tail) or follow is not None and (follow.version, follow.layer, follow.rate) == (head.version, head.layer, head.rate)
+        if not good and at == tail:
+            end = at
+            for name, low, high in (("title", 3, 33), ("artist", 33, 63), ("album", 63, 93), ("year", 93, 97)):
+                found.tags.setdefault(f"v1:{name}", data[end + low : end + high].split(b"\x00")[0].decode("latin-1").strip())
+            break
         if not good:
             found.resyncs += synced
             synced = False
@@ -230,8 +282,8 @@ def inspect_bytes(data: bytes | None) -> Inspection:
             at += head.length
             continue
         first = False
-        if head.protected and head.layer == 3:
-            right = crc16(data[at + 2 : at + 4] + data[at + 6 : at + 6 + head.side]) == data[at + 4] << 8 | data[at + 5]
+        if head.protected:
+            right = checksum_right(data[at : at + head.length], head)
             found.crc_good += right
             found.crc_bad += not right
         found.offsets.append(at)

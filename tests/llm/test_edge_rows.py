@@ -66,6 +66,66 @@ def test_media_foreign_bytes():
     assert whole.table["frames"] == 4 and len(whole.seek_table) == 100
 
 
+def test_bytes_like_a_tag_are_no_tag():
+    data = b"x" * 505 + b"TAG" + b"y" * 68
+    whole = media_mpeg.inspect_bytes(media_mpeg.encode_bytes(data))
+    assert media_mpeg.payload_of(media_mpeg.encode_bytes(data), whole)[: len(data)] == data
+    for cut in range(500, 580):
+        text = b"z" * cut + b"TAG" * 40
+        stream = media_mpeg.encode_bytes(text)
+        assert media_mpeg.payload_of(stream, media_mpeg.inspect_bytes(stream))[: len(text)] == text
+    tagged = media_mpeg.inspect_bytes(media_mpeg.encode_bytes(data) + b"TAG" + b"title".ljust(30, b"\0") + bytes(95))
+    assert tagged.tags["v1:title"] == "title" and len(tagged.offsets) == 1
+
+
+def plain_crc(bits: str) -> int:
+    value = 0xFFFF
+    for bit in bits:
+        value = ((value << 1) ^ (0x8005 if (value >> 15) != int(bit) else 0)) & 0xFFFF
+    return value
+
+
+@pytest.mark.parametrize(
+    ("head", "protected"),
+    [
+        (b"\xff\xfe\x94\xc0", 128), (b"\xff\xfe\x94\x00", 256), (b"\xff\xfe\x94\x50", 4 * (32 + 8)),  # layer I: mono, stereo, joint from subband 8
+        (b"\xff\xfc\x14\xc0", None), (b"\xff\xfc\x84\x04", None), (b"\xff\xfc\x48\x40", None), (b"\xff\xf4\x44\xc0", None), (b"\xff\xfc\x18\xc0", None),
+    ],
+)
+def test_checksums_of_layers_one_and_two(head, protected):
+    about = media_mpeg.header(head)
+    body = np.random.default_rng(5).integers(0, 256, about.length - 6, np.uint8)
+    bits = "".join(f"{b:08b}" for b in body)
+    if protected is None:
+        # allocations in order, then two bits for every channel of a subband that has any
+        channels, at, scales = 1 if about.mono else 2, 0, 0
+        for band, width in enumerate(media_mpeg._allocation(about)):
+            for _ in range(channels if band < about.bound else 1):
+                scales += (int(bits[at : at + width], 2) > 0) * (1 if band < about.bound else channels)
+                at += width
+        protected = at + 2 * scales
+    crc = plain_crc("".join(f"{b:08b}" for b in head[2:]) + bits[:protected])
+    frame = head + crc.to_bytes(2, "big") + body.tobytes()
+    found = media_mpeg.inspect_bytes(frame * 3)
+    assert (found.crc_good, found.crc_bad, len(found.offsets)) == (3, 0, 3)
+    spoiled = bytearray(frame)
+    spoiled[6] ^= 0x80
+    assert media_mpeg.inspect_bytes(bytes(spoiled) * 2).crc_bad == 2
+
+
+def test_tags_of_old_versions_and_delay():
+    v22 = b"ID3\x02\x00\x00" + media_mpeg._syncsafe(16) + b"TT2" + (10).to_bytes(3, "big") + b"\x00old title"[:10]
+    unsync = b"ID3\x03\x00\x80" + media_mpeg._syncsafe(16) + b"TIT2" + (5).to_bytes(4, "big") + b"\0\0" + b"\x00a\xff\x00bc"
+    assert media_mpeg.inspect_bytes(v22).tags == {"TT2": "old title"} and media_mpeg.inspect_bytes(unsync).tags == {"TIT2": "a\xffbc"}
+    stream = bytearray(media_mpeg.encode_bytes(b"x" * 5760))
+    at = stream.index(b"Xing")
+    stream[at + 120 : at + 124] = b"LAME"
+    at = at + 116  # this table has no quality entry
+    stream[at : at + 24] = b"LAME3.100" + bytes(12) + ((100 << 12) | 220).to_bytes(3, "big")
+    found = media_mpeg.inspect_bytes(bytes(stream))
+    assert found.samples == 5760 and found.duration_us == (5760 - 320) * 1_000_000 // 16000
+
+
 def test_language_of_awkward_rows(awkward, nothing):
     found = langid_zstd.classify(awkward, langid_zstd.learn(awkward, F.lit(True))).collect()
     assert len(found) == len(ROWS) and all(0 <= r.score <= 1 for r in found)
