@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 
 from codequarry.llm.common import map_batches
 
+LONG = 1 << 14
 START, MIDDLE, END = b"<|im_start|>", b"\n", b"<|im_end|>\n"
 PARTS = "conv_id long, part long, formatted string, loss_start array<long>, loss_length array<long>"
 
@@ -64,7 +65,14 @@ def _bytes_of(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _scatter(out: np.ndarray, at: np.ndarray, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> None:
-    """Copy data[starts : starts + sizes] to out[at : at + sizes], all rows at once."""
+    """Copy data[starts : starts + sizes] to out[at : at + sizes], all rows at once.
+
+    An index is kept for every byte, so long rows, of which there are few, are copied as slices.
+    """
+    for k in np.flatnonzero(sizes >= LONG).tolist():
+        out[at[k] : at[k] + sizes[k]] = data[starts[k] : starts[k] + sizes[k]]
+    short = sizes < LONG
+    at, starts, sizes = at[short], starts[short], sizes[short]
     total = int(sizes.sum())
     if total:
         within = np.arange(total) - np.repeat(np.cumsum(sizes) - sizes, sizes)
@@ -174,10 +182,13 @@ READ = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_s
 
 
 def read_back(parts: DataFrame) -> DataFrame:
-    """Digests of what ``format_conversations`` wrote, parsed from its text; parts come in its order."""
+    """Digests of what ``format_conversations`` wrote, parsed from its text.
+
+    Parts come in its order; others are refused.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, digest = None, None
+        now, digest, last = None, None, -1
         done: list[tuple] = []
 
         def close() -> None:
@@ -197,6 +208,9 @@ def read_back(parts: DataFrame) -> DataFrame:
                     if now is not None:
                         close()
                     now, digest = conversation, Digest()
+                elif batch.column(1)[k].as_py() != last + 1:
+                    raise ValueError("the parts of a conversation do not come in order")
+                last = batch.column(1)[k].as_py()
                 digest.add(batch.column(2)[k].as_py(), batch.column(3)[k].as_py(), batch.column(4)[k].as_py())
             yield flush()
         if now is not None:
