@@ -64,16 +64,23 @@ def written(frame: DataFrame, label: str, by: str | None = None) -> DataFrame:
 HEAVY_KEYS = 20_000
 
 
+def moved(side: DataFrame) -> DataFrame:
+    """``side`` of a join that is shuffled and merged, however small it turns out to be: no copy of it passes the driver."""
+    return side.hint("merge")
+
+
 def join_one(many: DataFrame, one: DataFrame, keys: list[str], weight: str, total: int, how: str = "inner", least: int = 256) -> DataFrame:
     """``many`` joined (``inner`` or ``left``) with ``one``, which has one row a key; no key becomes one long task.
 
-    ``weight`` is the column of ``one`` that counts the key's rows in ``many``, and
-    ``total`` the rows of ``many``.  Keys above ``limit`` rows are at most
-    total / limit <= ``HEAVY_KEYS``, so this part of ``one`` is broadcast and its
-    rows of ``many`` stay where they are; all other keys are shuffled.
+    ``one`` should be materialised.  Its column ``weight`` counts the key's rows in
+    ``many``, and ``total`` is the rows of ``many``.  Keys above ``limit`` rows are
+    at most total / limit <= ``HEAVY_KEYS``, so this part of ``one`` is broadcast
+    and its rows of ``many`` stay where they are; all other keys are shuffled.
     """
     limit = max(least, -(-total // HEAVY_KEYS))
-    heavy, light = one.where(F.col(weight) > limit).drop(weight), one.where(F.col(weight) <= limit).drop(weight)
+    heavy, light = one.where(F.col(weight) > limit).drop(weight), moved(one.where(F.col(weight) <= limit).drop(weight))
+    if heavy.isEmpty():
+        return many.join(light, keys, how)
     stay = many.join(F.broadcast(heavy), keys)
     move = many.join(F.broadcast(heavy.select(*keys)), keys, "left_anti").join(light, keys, how)
     return stay.unionByName(move)

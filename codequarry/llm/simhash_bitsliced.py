@@ -16,7 +16,8 @@ block is abandoned as soon as all its lanes exceed the radius.  A cell hands on
 a spanning forest of its links, never all its pairs.
 
 Components are found by alternating large-star and small-star steps over tables
-in the shared checkpoint folder.
+in the shared checkpoint folder; hubs of many links are joined by a broadcast of
+bounded size.
 
 Defined results: null and empty texts have fingerprint zero and link like any
 other; a null document number takes part in linking but never names a component
@@ -35,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from codequarry.llm.common import join_one, map_batches, materialise
+from codequarry.llm.common import join_one, map_batches, materialise, moved
 
 SEED = 42
 BITS = 64
@@ -101,8 +102,8 @@ def _cells(distinct: DataFrame, masks: list[int], chunk: int, count: int) -> Dat
     keys = F.posexplode(F.transform(F.array(*[F.lit(m).cast("long") for m in masks]), lambda m: m.bitwiseAND(F.col("bits"))))
     keyed = distinct.select("bits", keys.alias("mask", "key"))
     sizes = keyed.groupBy("mask", "key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    chunks = F.ceil(F.col("members") / chunk).cast("int")
-    joined = join_one(keyed, sizes.withColumn("chunks", chunks), ["mask", "key"], "members", count * len(masks))
+    sizes = materialise(sizes.withColumn("chunks", F.ceil(F.col("members") / chunk).cast("int")))
+    joined = join_one(keyed, sizes, ["mask", "key"], "members", count * len(masks))
     own = F.pmod(F.xxhash64("bits", "mask"), F.col("chunks")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda k: F.struct(F.least(k, F.col("own")).alias("low"), F.greatest(k, F.col("own")).alias("high")))
     return (
@@ -269,26 +270,30 @@ def link(distinct: DataFrame, radius: int = 4, chunk: int = 4096) -> DataFrame:
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, root): the least node that each node of an edge list (a, b) reaches.
 
-    Alternates large-star and small-star steps until the edges no longer change.
+    Edges point from the greater node to the smaller.  A large-star step sends
+    every edge on from its smaller node to that node's least neighbour; only nodes
+    that stand at both ends of edges change anything, so only their edges meet
+    them.  A small-star step joins all smaller neighbours of a node to the least;
+    only nodes with several change anything.  Both end when all edges are stars.
     ``most_rounds`` only guards against a table that changes under the job.
     """
-    either = lambda e: e.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
     edges = materialise(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    before, count = None, edges.count()
+    count = edges.count()  # no step makes more of them
     for _ in range(most_rounds):
-        around = either(edges)
-        least = around.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("degree"))
-        large = join_one(around, least, ["u"], "degree", 2 * count).where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        smaller = large.select(F.col("a").alias("u"), F.col("b").alias("v"))
-        low = smaller.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("degree"))
-        small = join_one(smaller, low, ["u"], "degree", 2 * count)
-        edges = materialise(
-            small.select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(low.select(F.col("u").alias("a"), F.col("m").alias("b"))).where("a <> b").distinct()
-        )
-        state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.sum((F.xxhash64("b", "a") % 1000003).cast("decimal(38,0)"))).first()
-        if state == before:
+        least = edges.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"))
+        hubs = edges.groupBy(F.col("b").alias("u")).agg(F.count(F.lit(1)).alias("degree"))
+        chained = materialise(hubs.join(moved(least), "u"))
+        passed = chained.isEmpty()
+        if not passed:
+            sent = join_one(edges.withColumnRenamed("b", "u"), chained, ["u"], "degree", count, "left")
+            edges = materialise(sent.select("a", F.coalesce("m", "u").alias("b")).distinct())
+        several = materialise(edges.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("degree")).where("degree > 1"))
+        if not several.isEmpty():
+            met = join_one(edges, several, ["a"], "degree", count, "left")
+            stay = met.where("m IS NULL OR m = b").select("a", "b")
+            edges = materialise(stay.unionByName(met.where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))).distinct())
+        elif passed:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
-        before, count = state, state[0]
     raise RuntimeError("the links did not settle")
 
 
@@ -298,10 +303,10 @@ def near_duplicates(documents: DataFrame, radius: int = 4, words: int = 4, chunk
     distinct = materialise(prints.groupBy("bits").agg(F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("copies")))
     size = distinct.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("copies"), F.lit(0)).alias("rows")).first()
     roots = materialise(components(link(distinct.select("bits"), radius, chunk)))
-    named = distinct.join(roots, F.col("bits") == F.col("node")).select("bits", "least_id", "copies", "root")
-    names = named.groupBy("root").agg(F.min("least_id").alias("component_id"), F.count(F.lit(1)).alias("members"))
+    named = distinct.join(moved(roots), F.col("bits") == F.col("node")).select("bits", "least_id", "copies", "root")
+    names = materialise(named.groupBy("root").agg(F.min("least_id").alias("component_id"), F.count(F.lit(1)).alias("members")))
     linked = join_one(named, names, ["root"], "members", size["n"]).select("bits", "component_id", "copies")
-    alone = distinct.join(roots, F.col("bits") == F.col("node"), "left_anti").select("bits", F.col("least_id").alias("component_id"), "copies")
+    alone = distinct.join(moved(roots), F.col("bits") == F.col("node"), "left_anti").select("bits", F.col("least_id").alias("component_id"), "copies")
     return join_one(prints, materialise(linked.unionByName(alone)), ["bits"], "copies", size["rows"]).select("doc_id", "bits", "component_id")
 
 
