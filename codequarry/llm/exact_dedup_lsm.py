@@ -81,12 +81,12 @@ class Filter:
     hashes: int = 0
 
     @staticmethod
-    def over(frame: DataFrame, count: int) -> Filter:
+    def over(frame: DataFrame, count: int, key: str = "digest") -> Filter:
         # below four bits a key a filter lets nearly everything through and is not worth its pass
         if 4 * count > bloom.MOST_BITS:
             return Filter(None)
         bits, hashes = bloom.bits_for(count)
-        return Filter(bloom.table(frame, "digest", bits, hashes), bits, hashes)
+        return Filter(bloom.table(frame, key, bits, hashes), bits, hashes)
 
     def may_hold(self, key: Column) -> Column:
         return F.lit(True) if self.words is None else bloom.contains(self.words.scalar(), key, self.hashes, bits=self.bits)
