@@ -249,10 +249,11 @@ def excused(node: Node) -> bool:
 class Part:
     """A node for matching: one element, or a run of elements alike."""
 
-    __slots__ = ("tag", "names", "nodes", "kids", "hash", "within", "number", "verdict", "members")
+    __slots__ = ("tag", "names", "nodes", "kids", "hash", "within", "number", "verdict", "members", "says")
 
     def __init__(self, nodes: list[Node], within: bool) -> None:
         self.tag, self.names, self.nodes, self.kids, self.within = nodes[0].tag, nodes[0].names, nodes, [], within
+        self.says: tuple[int, ...] | None = None
         self.hash = nodes[0].hash if len(nodes) == 1 else zlib.crc32(b"".join(n.hash.to_bytes(4, "little") for n in nodes))
 
 
@@ -364,10 +365,13 @@ def observe(pivot: str, page: Part, sums: dict[int, list[int]]) -> None:
     tree, starts = _pivot(pivot)
     for known, found in match_trees(tree, page)[1]:
         held = sums.setdefault(known.number, [0] * len(SUMS))
-        says = [marked(n, found.within) and not excused(n) for n in found.nodes]
-        chars, linked, links = (sum(getattr(n, f) for n in found.nodes) for f in ("chars", "linked", "links"))
-        inside = found.within or any(n.holds for n in found.nodes)
-        for k, value in enumerate((1, known.hash == found.hash, all(says), inside, chars, linked, links)):
+        if found.says is None:  # the same for every pivot
+            nodes, within = found.nodes, found.within
+            says = all([marked(n, within) and not excused(n) for n in nodes])
+            found.says = says, within or any([n.holds for n in nodes]), sum([n.chars for n in nodes]), sum([n.linked for n in nodes]), sum([n.links for n in nodes])
+        held[0] += 1
+        held[1] += known.hash == found.hash
+        for k, value in enumerate(found.says, 2):
             held[k] += value
         if len(known.nodes) > 1:
             here = {n.hash for n in found.nodes}
