@@ -52,10 +52,20 @@ def materialise(frame: DataFrame) -> DataFrame:
     return frame.checkpoint(eager=True)
 
 
+def _folder(spark: SparkSession) -> str:
+    return f"{checkpoint_root(spark)}/codequarry/{spark.sparkContext.applicationId}"
+
+
+def forget(spark: SparkSession) -> None:
+    """Remove this application's written tables, when no frame that reads them is wanted any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def written(frame: DataFrame, label: str, by: str | None = None) -> DataFrame:
     """Write ``frame`` as Parquet below the shared folder, in folders by a column if wanted, and return the table read back."""
     spark = frame.sparkSession
-    path = f"{checkpoint_root(spark)}/codequarry/{label}-{uuid.uuid4().hex}"
+    path = f"{_folder(spark)}/{label}-{uuid.uuid4().hex}"
     (frame.write.partitionBy(by) if by else frame.write).parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
 

@@ -56,3 +56,10 @@ def test_hot_keys_stay_where_they_are(spark, how):
     assert sorted(map(tuple, made.select("k", "v", "most").collect()), key=repr) == sorted(map(tuple, many.join(one, "k", how).select("k", "v", "most").collect()), key=repr)
     sizes = [len(part) for part in made.where("k = 0").rdd.glom().collect() if part]
     assert len(sizes) == 8 and max(sizes) < 2 * min(sizes)
+
+
+def test_written_tables_can_be_removed(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(common, "checkpoint_root", lambda _: str(tmp_path))
+    assert common.written(spark.range(3), "some").count() == 3 and any(tmp_path.rglob("*.parquet"))
+    common.forget(spark)
+    assert not any(tmp_path.rglob("*.parquet"))
