@@ -11,6 +11,21 @@ from tests.oracle import same_rows
 ORACLES = evidence.oracle_sql()
 
 
+@pytest.fixture(scope="module", autouse=True)
+def one_trace():
+    """The traces that many queries filter are made once for this module."""
+    made, trace = {}, evidence.traced
+
+    def shared(spark, sf_dir, sql=evidence.b.SOURCES):
+        if (sf_dir, sql) not in made:
+            made[sf_dir, sql] = trace(spark, sf_dir, sql)
+        return made[sf_dir, sql]
+
+    evidence.traced = shared
+    yield
+    evidence.traced = trace
+
+
 @pytest.mark.parametrize("name", list(ORACLES))
 def test_against_sql(spark, sf_dir, name):
     same_rows(evidence.queries()[name](spark, sf_dir), sf_dir, ORACLES[name])

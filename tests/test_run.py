@@ -199,3 +199,122 @@ def test_configuration(tmp_path):
     with pytest.raises(config.ConfigurationError):
         config.registry_rules("{", root)
     assert config.merged({config.FOLDERS: ["a", "b"], config.FILES: []}, {config.FOLDERS: ["b"], config.FILES: ["c"]})[config.FILES] == ["c"]
+
+
+TRACED = {
+    "__init__.py": "",
+    "a.py": """from .b import f, K
+import pkg.b as w
+from . import nowhere
+from .... import far
+
+def g(cb):
+    x = K()
+    return f(), w.f(), cb(), x.m(), other()
+
+def h(f):
+    return f()
+
+f()
+t[0]()
+""",
+    "b.py": "def f():\n    return 1\n\nclass K:\n    def m(self):\n        return f()\n",
+    "c.py": "def f():\n    pass\nf = 1\ndef g():\n    return f()\n",
+}
+#: read line by line against the sources above
+TRACE = """# Dependency Trace
+
+## Summary
+
+- Source nodes: 4
+- Import resolutions: 5
+- Call resolutions: 11
+- Confirmed internal edges: 8
+- Resolved internal imports: 3
+- Resolved internal calls: 5
+- Confirmed caller endpoints: 3
+- Confirmed callee endpoints: 2
+- Unresolved imports: 1
+- Ambiguous imports: 0
+- Invalid relative imports: 1
+- Potential internal calls: 1
+- Unresolved calls: 2
+- Ambiguous calls: 0
+- Dynamic calls: 2
+- Shadowed calls: 1
+
+## Confirmed internal dependencies
+
+- [IMPORT] `pkg/a.py` → `pkg/b.py` (line 1, scope `<module>`)
+- [IMPORT] `pkg/a.py` → `pkg/b.py` (line 1, scope `<module>`)
+- [IMPORT] `pkg/a.py` → `pkg/b.py` (line 2, scope `<module>`)
+- [CALL] `pkg/a.py::g` → `pkg/b.py::K` (line 7)
+- [CALL] `pkg/a.py::g` → `pkg/b.py::f` (line 8)
+- [CALL] `pkg/a.py::g` → `pkg/b.py::f` (line 8)
+- [CALL] `pkg/a.py::<module>` → `pkg/b.py::f` (line 13)
+- [CALL] `pkg/b.py::K.m` → `pkg/b.py::f` (line 6)
+
+## Confirmed calls by caller
+
+- `pkg/a.py::<module>`
+  - CALLS `pkg/b.py::f` (line 13)
+- `pkg/a.py::g`
+  - CALLS `pkg/b.py::K` (line 7)
+  - CALLS `pkg/b.py::f` (line 8)
+  - CALLS `pkg/b.py::f` (line 8)
+- `pkg/b.py::K.m`
+  - CALLS `pkg/b.py::f` (line 6)
+
+## Confirmed calls by callee
+
+- `pkg/b.py::K`
+  - CALLED BY `pkg/a.py::g` (line 7)
+- `pkg/b.py::f`
+  - CALLED BY `pkg/a.py::<module>` (line 13)
+  - CALLED BY `pkg/a.py::g` (line 8)
+  - CALLED BY `pkg/a.py::g` (line 8)
+  - CALLED BY `pkg/b.py::K.m` (line 6)
+
+## Unresolved imports
+
+- `pkg/a.py`:3 requested `pkg.nowhere`
+
+## Ambiguous imports
+
+- None.
+
+## Invalid relative imports
+
+- `pkg/a.py`:4
+
+## Potential internal calls (not confirmed edges)
+
+- `pkg/c.py`:5 `f` → candidate `pkg/c.py::f` (scope `g`)
+
+## Shadowed call candidates
+
+- `pkg/a.py`:11 `f` shadowed by `parameter` (scope `h`)
+
+## Unresolved calls
+
+- `pkg/a.py`:8 `x.m` (scope `g`)
+- `pkg/a.py`:8 `other` (scope `g`)
+
+## Ambiguous call candidates
+
+- None.
+
+## Dynamic calls
+
+- `pkg/a.py`:8 kind `callback_parameter` (scope `g`)
+- `pkg/a.py`:14 kind `subscript_selected` (scope `<module>`)
+"""
+
+
+def test_every_line_of_a_trace(spark, tmp_path):
+    root = tmp_path / "proj"
+    (root / "pkg").mkdir(parents=True)
+    for name, text in TRACED.items():
+        (root / "pkg" / name).write_text(text)
+    assert cli.main(["--project", str(root), "--trace", "--output", str(tmp_path / "out")], spark) == 0
+    assert (tmp_path / "out" / "proj" / "proj-trace.md").read_text() == TRACE
