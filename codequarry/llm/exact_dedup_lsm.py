@@ -52,11 +52,10 @@ def normalised(text: Column) -> Column:
 
 def _keyed(named: DataFrame, file: str, place: str, id_column: str, text_column: str, digest_bytes: int) -> DataFrame:
     text = F.col(text_column).cast("string")
-    body = normalised(text)
-    sha = F.unhex(F.sha2(body.cast("binary"), 256))
-    made = F.struct(F.coalesce(F.char_length(text), F.lit(0)).alias("points"), body.alias("body"), sha.alias("sha"))
-    # through a generator, which conditions on the digest stay above: it is computed once a row
-    rows = named.select(F.col(id_column).alias("doc_id"), F.col(file).alias("file"), F.col(place).alias("place"), F.inline(F.array(made)))
+    once = lambda **made: F.inline(F.array(F.struct(*[c.alias(n) for n, c in made.items()])))
+    # conditions on the digest stay above a generator, so text and digest are computed once a row
+    rows = named.select(F.col(id_column).alias("doc_id"), F.col(file).alias("file"), F.col(place).alias("place"), once(points=F.coalesce(F.char_length(text), F.lit(0)), body=normalised(text)))
+    rows = rows.select("*", once(sha=F.unhex(F.sha2(F.col("body").cast("binary"), 256))))
     return rows.withColumn("digest", F.substring("sha", 1, digest_bytes) if digest_bytes < 32 else F.col("sha"))
 
 
