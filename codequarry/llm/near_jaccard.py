@@ -1,17 +1,23 @@
-"""Near-duplicates at a shingle similarity: candidates by min-hash bands, every link verified exactly.
+"""Near-duplicates at a shingle similarity: candidates by SimHash and by min-hash bands, every link verified exactly.
 
 Two texts are near-duplicates if their sets of ``words``-word shingles have a
 Jaccard similarity of at least ``SIMILARITY``; groups are the closure of these
-links.  SimHash cannot give the candidates: texts at 0.8 differ in about 10 of
-64 bits and up to 19, where unrelated texts begin to meet too.
+links.  Bit-sliced SimHash names the candidates that are nearest.  It cannot name
+all: texts at 0.8 differ in about 10 of 64 bits and up to 19, where unrelated
+texts begin to meet too.  Min-hash bands name the rest, so no link depends on the
+radius.
 
 * Nodes are different texts, told apart by 128 bits of their SHA-256 and numbered.
+* Fingerprints of the nodes' different shingles are linked at ``RADIUS`` bits by
+  the bit-sliced comparison of ``simhash_bitsliced``.  A node's hub is the least
+  node of the least fingerprint that its own is linked to, or else of its own.
 * ``BANDS`` keys of ``ROWS`` least hashes each: a pair at similarity s shares no
   key with probability (1 - s**ROWS)**BANDS, 4.5e-10 at 0.8 and less above.
-* Nodes that are joined by shared keys form a block.  Every node is first compared
-  with its hub, the least node of the keys that it shares most often: a hub's
-  nodes are dealt into parts of ``chunk``, and each text moves once.  A group of
-  near copies, however large, is linked by this in linear work.
+* Nodes that are joined by near fingerprints or shared keys form a block.  Every
+  node is first compared with its hubs, the one by SimHash and the least node of
+  the keys that it shares most often: a hub's nodes are dealt into parts of
+  ``chunk``, and each text moves once for each of its at most two hubs.  A group
+  of near copies, however large, is linked by this in linear work.
 * Only blocks that are still in several pieces go on.  They are dealt into chunks
   of ``chunk`` nodes, and every pair of chunks becomes a cell of its own, but for
   chunks of one piece, which has nothing left to link.  In a cell an index from
@@ -39,9 +45,10 @@ from xxhash import xxh64_intdigest
 
 from codequarry.llm.common import BROADCAST_ROWS, join_one, map_batches, materialise, moved, numbered, without_rows
 from codequarry.llm.exact_dedup_lsm import Filter
-from codequarry.llm.simhash_bitsliced import SEED, Forest, components
+from codequarry.llm.simhash_bitsliced import SEED, Forest, components, link, majority
 
 SIMILARITY = (4, 5)
+RADIUS = 4
 ROWS, BANDS = 3, 30
 
 _DRAW = np.random.default_rng(SEED)
@@ -137,9 +144,21 @@ def _votes(nodes: DataFrame, count: int) -> DataFrame:
     return materialise(joined.where("node <> least").groupBy("node", "least").agg(F.count(F.lit(1)).alias("n")))
 
 
-def star_links(texts: Callable[[DataFrame], DataFrame], votes: DataFrame, words: int, chunk: int) -> DataFrame:
+def _near(nodes: DataFrame, count: int) -> DataFrame:
+    """(node, hub): the hub of each of the ``count`` nodes whose fingerprint is another's or at ``RADIUS`` of one."""
+    first = materialise(nodes.groupBy("bits").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("members")))
+    stars = materialise(link(first.select("bits"), RADIUS).groupBy("b").agg(F.min("a").alias("a")))
+    degrees = stars.groupBy("a").agg(F.count(F.lit(1)).alias("degree"))
+    hubs = materialise(degrees.join(moved(first), F.col("a") == F.col("bits")).select("a", F.col("least").alias("hub"), "degree"))
+    named = join_one(stars, hubs, ["a"], "degree", count).select(F.col("b").alias("bits"), "hub")
+    known = first.join(moved(named), "bits", "left").where("hub IS NOT NULL OR members > 1").select("bits", F.coalesce("hub", "least").alias("hub"), "members")
+    return materialise(join_one(nodes.select("node", "bits"), materialise(known), ["bits"], "members", count).where("node <> hub").select("node", "hub"))
+
+
+def star_links(texts: Callable[[DataFrame], DataFrame], near: DataFrame, votes: DataFrame, words: int, chunk: int) -> DataFrame:
     """(a, b): verified links of nodes with their hubs; ``texts`` gives (node, text) of the nodes of a table."""
-    stars = materialise(votes.groupBy("node").agg(F.max_by("least", F.struct(F.col("n"), -F.col("least"))).alias("hub")))
+    voted = votes.groupBy("node").agg(F.max_by("least", F.struct(F.col("n"), -F.col("least"))).alias("hub"))
+    stars = materialise(near.unionByName(voted).distinct())
     degrees = materialise(stars.groupBy("hub").agg(F.count(F.lit(1)).alias("degree")).withColumn("parts", F.ceil(F.col("degree") / chunk).cast("int")))
     dealt = join_one(stars, degrees, ["hub"], "degree", stars.count())
     members = dealt.select("hub", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("rank"), "node")
@@ -209,9 +228,10 @@ def piece_links(texts: Callable[[DataFrame], DataFrame], pieces: DataFrame, word
 
 def links(texts: Callable[[DataFrame], DataFrame], nodes: DataFrame, count: int, words: int, chunk: int) -> DataFrame:
     """(a, b): verified links whose closure is that of all links between the ``count`` nodes."""
-    votes = _votes(nodes, count)
-    stars = star_links(texts, votes, words, chunk)
-    blocks = components(votes.select(F.col("node").alias("a"), F.col("least").alias("b"))).select("node", F.col("root").alias("block"))
+    near, votes = _near(nodes, count), _votes(nodes, count)
+    stars = star_links(texts, near, votes, words, chunk)
+    candidates = near.toDF("a", "b").unionByName(votes.select(F.col("node").alias("a"), F.col("least").alias("b")))
+    blocks = components(candidates).select("node", F.col("root").alias("block"))
     linked = components(stars).select("node", F.col("root").alias("piece"))
     pieces = materialise(blocks.join(moved(linked), "node", "left").select("node", "block", F.coalesce("piece", "node").alias("piece")))
     open_ = pieces.groupBy("block").agg(F.min("piece").alias("low"), F.max("piece").alias("high"), F.count(F.lit(1)).alias("members")).where("low <> high").select("block", "members")
@@ -224,19 +244,21 @@ def keep_first(documents: DataFrame, words: int = 5, chunk: int = 1024, id_colum
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = [band_keys(shingles(x.as_py(), words)) for x in batch.column(2)]
-            flat = pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64))
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, BANDS), pa.int32()), flat)
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in (0, 1, 3, 4)), lists], ["doc_id", "name", "file", "place", "keys"])
+            bits, keys = np.zeros(batch.num_rows, np.uint64), np.zeros((batch.num_rows, BANDS), np.int64)
+            for row, x in enumerate(batch.column(2)):
+                mine = shingles(x.as_py(), words)
+                bits[row], keys[row] = majority(mine), band_keys(mine)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS), pa.int32()), pa.array(keys.ravel()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in (0, 1, 3, 4)), pa.array(bits.view(np.int64)), lists], ["doc_id", "name", "file", "place", "bits", "keys"])
 
     named, file, place = numbered(documents, "near")
     text = F.col(text_column).cast("string")
     rows = named.select(F.col(id_column).cast("long").alias("doc_id"), name_of(text).alias("name"), text.alias("text"), F.col(file).alias("file"), F.col(place).alias("place"))
-    prints = materialise(map_batches(rows, keyed, "doc_id long, name binary, file long, place long, keys array<long>"))
+    prints = materialise(map_batches(rows, keyed, "doc_id long, name binary, file long, place long, bits long, keys array<long>"))
     order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "name", "file", "place")
-    distinct = prints.groupBy("name").agg(F.first("keys").alias("keys"), F.min(order).alias("first"), F.count(F.lit(1)).alias("copies"))
+    distinct = prints.groupBy("name").agg(F.first("bits").alias("bits"), F.first("keys").alias("keys"), F.min(order).alias("first"), F.count(F.lit(1)).alias("copies"))
     # a number for each different text, written down with it
-    nodes = materialise(distinct.select(F.monotonically_increasing_id().alias("node"), "keys", "first", "copies"))
+    nodes = materialise(distinct.select(F.monotonically_increasing_id().alias("node"), "bits", "keys", "first", "copies"))
     size = nodes.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("copies"), F.lit(0)).alias("rows")).first()
 
     def texts(wanted: DataFrame) -> DataFrame:

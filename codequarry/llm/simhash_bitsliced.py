@@ -57,6 +57,18 @@ def fingerprint(text: str | None, words: int = 4) -> int:
         begin, end = starts[low:high].tolist(), (starts[low + last : high + last] + sizes[low + last : high + last]).tolist()
         hashes = np.fromiter((xxh64_intdigest(joined[a:b], SEED) for a, b in zip(begin, end, strict=True)), np.uint64, high - low)
         counts += _bit_counts(hashes)
+    return _over_half(counts, total)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The fingerprint of hashes that are at hand."""
+    counts, step = np.zeros(BITS, np.int64), 1 << 16
+    for low in range(0, len(hashes), step):
+        counts += _bit_counts(hashes[low : low + step])
+    return _over_half(counts, len(hashes))
+
+
+def _over_half(counts: np.ndarray, total: int) -> int:
     return int(sum(1 << b for b in range(BITS) if 2 * counts[b] > total))
 
 

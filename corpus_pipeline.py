@@ -38,7 +38,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, the one with the smallest number.
 
     Pipeline documents are near-duplicates if their sets of five-word shingles
-    have a Jaccard similarity of at least 0.8.
+    have a Jaccard similarity of at least 0.8.  Bit-sliced SimHash names candidates
+    first, min-hash bands those beyond its radius.
     """
     return near_jaccard.keep_first(docs, words=5)
 

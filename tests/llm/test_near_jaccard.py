@@ -93,3 +93,23 @@ def test_a_large_group_is_linked_by_its_hub(spark, monkeypatch):
     for chunk in (4, 1024):
         assert {r.doc_id for r in near_jaccard.keep_first(frame, chunk=chunk).collect()} == {rows[k][0] for k in plain_stay(rows)}
     assert cells and max(cells) <= 40
+
+
+def test_simhash_names_candidates(spark, monkeypatch):
+    """Without a single band key, near fingerprints alone lead to links, and only to those that the sets bear out."""
+    rng = random.Random(11)
+    print_of = lambda text: near_jaccard.majority(near_jaccard.shingles(text))
+    rows, fit, unfit = [], 0, 0
+    while fit < 20 or unfit < 5:
+        base = [f"w{rng.randrange(5000)}" for _ in range(120)]
+        other = edited(base, rng.choice((1, 4)), rng)
+        if (print_of(" ".join(base)) ^ print_of(" ".join(other))).bit_count() > near_jaccard.RADIUS:
+            continue
+        similar = near_jaccard.alike(*(near_jaccard.shingles(" ".join(w)) for w in (base, other)))
+        fit, unfit = fit + similar, unfit + (not similar)
+        rows += [(2 * len(rows) + 1, " ".join(base), True), (2 * len(rows) + 2, " ".join(other), not similar)]
+    none = spark.createDataFrame([], "node long, least long, n long")
+    monkeypatch.setattr(near_jaccard, "_votes", lambda nodes, count: none)
+    frame = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    found = {r.doc_id for r in corpus_pipeline.near_dedup(spark, frame, "unused").collect()}
+    assert found == {r[0] for r in rows if r[2]}
