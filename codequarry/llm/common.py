@@ -52,6 +52,21 @@ def materialise(frame: DataFrame) -> DataFrame:
     return frame.checkpoint(eager=True)
 
 
+def settled(frame: DataFrame) -> DataFrame:
+    """``materialise`` for a frame that nothing else reads: what its shuffles left on disk goes at once.
+
+    Spark removes such files when the driver's collector happens to find that
+    nothing refers to them, and those of many small steps pile up until then.
+    """
+    table = materialise(frame)
+    plan = frame._jdf.queryExecution().executedPlan()
+    if plan.nodeName() == "AdaptiveSparkPlan":
+        files = frame.sparkSession.sparkContext._jsc.sc().shuffleDriverComponents()
+        for shuffle in list(plan.context().shuffleIds().keySet()):
+            files.removeShuffle(shuffle, False)
+    return table
+
+
 def _folder(spark: SparkSession) -> str:
     return f"{checkpoint_root(spark)}/codequarry/{spark.sparkContext.applicationId}"
 

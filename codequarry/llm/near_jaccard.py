@@ -43,7 +43,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from codequarry.llm.common import BROADCAST_ROWS, join_one, map_batches, materialise, moved, numbered, without_rows
+from codequarry.llm.common import BROADCAST_ROWS, join_one, map_batches, moved, numbered, settled, without_rows
 from codequarry.llm.exact_dedup_lsm import Filter
 from codequarry.llm.simhash_bitsliced import SEED, Forest, components, link, majority
 
@@ -138,32 +138,32 @@ def similar_pairs(sets: list[np.ndarray], part: np.ndarray, within: bool, pieces
 def _votes(nodes: DataFrame, count: int) -> DataFrame:
     """(node, least, n): how many keys of a node have which least node; of the ``count`` nodes, those that share keys."""
     keyed = nodes.select("node", F.explode("keys").alias("key"))
-    least = materialise(keyed.groupBy("key").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("members")).where("members > 1"))
+    least = settled(keyed.groupBy("key").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("members")).where("members > 1"))
     shared = Filter.over(least, least.count(), "key")  # most keys are no other text's and need not move again
     joined = join_one(keyed.where(shared.may_hold(F.col("key"))), least, ["key"], "members", count * BANDS)
-    return materialise(joined.where("node <> least").groupBy("node", "least").agg(F.count(F.lit(1)).alias("n")))
+    return settled(joined.where("node <> least").groupBy("node", "least").agg(F.count(F.lit(1)).alias("n")))
 
 
 def _near(nodes: DataFrame, count: int) -> DataFrame:
     """(node, hub): the hub of each of the ``count`` nodes whose fingerprint is another's or at ``RADIUS`` of one."""
-    first = materialise(nodes.groupBy("bits").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("members")))
-    stars = materialise(link(first.select("bits"), RADIUS).groupBy("b").agg(F.min("a").alias("a")))
+    first = settled(nodes.groupBy("bits").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("members")))
+    stars = settled(link(first.select("bits"), RADIUS).groupBy("b").agg(F.min("a").alias("a")))
     degrees = stars.groupBy("a").agg(F.count(F.lit(1)).alias("degree"))
-    hubs = materialise(degrees.join(moved(first), F.col("a") == F.col("bits")).select("a", F.col("least").alias("hub"), "degree"))
+    hubs = settled(degrees.join(moved(first), F.col("a") == F.col("bits")).select("a", F.col("least").alias("hub"), "degree"))
     named = join_one(stars, hubs, ["a"], "degree", count).select(F.col("b").alias("bits"), "hub")
     known = first.join(moved(named), "bits", "left").where("hub IS NOT NULL OR members > 1").select("bits", F.coalesce("hub", "least").alias("hub"), "members")
-    return materialise(join_one(nodes.select("node", "bits"), materialise(known), ["bits"], "members", count).where("node <> hub").select("node", "hub"))
+    return settled(join_one(nodes.select("node", "bits"), settled(known), ["bits"], "members", count).where("node <> hub").select("node", "hub"))
 
 
 def star_links(texts: Callable[[DataFrame], DataFrame], near: DataFrame, votes: DataFrame, words: int, chunk: int) -> DataFrame:
     """(a, b): verified links of nodes with their hubs; ``texts`` gives (node, text) of the nodes of a table."""
     voted = votes.groupBy("node").agg(F.max_by("least", F.struct(F.col("n"), -F.col("least"))).alias("hub"))
-    stars = materialise(near.unionByName(voted).distinct())
-    degrees = materialise(stars.groupBy("hub").agg(F.count(F.lit(1)).alias("degree")).withColumn("parts", F.ceil(F.col("degree") / chunk).cast("int")))
+    stars = settled(near.unionByName(voted).distinct())
+    degrees = settled(stars.groupBy("hub").agg(F.count(F.lit(1)).alias("degree")).withColumn("parts", F.ceil(F.col("degree") / chunk).cast("int")))
     dealt = join_one(stars, degrees, ["hub"], "degree", stars.count())
     members = dealt.select("hub", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("rank"), "node")
     hubs = degrees.select("hub", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("rank"), F.col("hub").alias("node"))
-    places = materialise(members.unionByName(hubs))
+    places = settled(members.unionByName(hubs))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hub, known = None, None
@@ -180,20 +180,20 @@ def star_links(texts: Callable[[DataFrame], DataFrame], near: DataFrame, votes:
 
     rows = texts(places.select("node").distinct()).join(moved(places), "node").select("hub", "part", "rank", "node", "text")
     placed = rows.repartition("hub", "part").sortWithinPartitions("hub", "part", "rank", "node")
-    return materialise(map_batches(placed, compare, "a long, b long"))
+    return settled(map_batches(placed, compare, "a long, b long"))
 
 
 def piece_links(texts: Callable[[DataFrame], DataFrame], pieces: DataFrame, words: int, chunk: int) -> DataFrame:
     """(a, b): verified links between different pieces of blocks, from (node, block, piece) of blocks with several pieces."""
-    sizes = materialise(pieces.groupBy("block", "piece").agg(F.count(F.lit(1)).alias("n")))
+    sizes = settled(pieces.groupBy("block", "piece").agg(F.count(F.lit(1)).alias("n")))
     large = F.col("n") > chunk
     before = Window.partitionBy("block").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
     # a large piece has chunks of its own; the others of a block share the first ones
     own = sizes.where(large).withColumn("width", F.ceil(F.col("n") / chunk).cast("int")).withColumn("start", F.coalesce(F.sum("width").over(before), F.lit(0)).cast("int"))
     blocks = sizes.groupBy("block").agg(F.ceil(F.sum(F.when(~large, F.col("n")).otherwise(0)) / chunk).cast("int").alias("mixed"), F.sum(F.when(large, F.ceil(F.col("n") / chunk)).otherwise(0)).cast("int").alias("wide"), F.count(F.lit(1)).alias("pieces"))
     placed_pieces = sizes.join(moved(own.drop("n")), ["block", "piece"], "left")
-    info = join_one(placed_pieces, materialise(blocks), ["block"], "pieces", sizes.count())
-    info = materialise(info.select("block", "piece", "n", (F.col("mixed") + F.col("wide")).alias("chunks"), F.when(large, F.col("mixed") + F.col("start")).otherwise(0).alias("low"), F.when(large, F.col("width")).otherwise(F.col("mixed")).alias("count"), large.alias("alone")))
+    info = join_one(placed_pieces, settled(blocks), ["block"], "pieces", sizes.count())
+    info = settled(info.select("block", "piece", "n", (F.col("mixed") + F.col("wide")).alias("chunks"), F.when(large, F.col("mixed") + F.col("start")).otherwise(0).alias("low"), F.when(large, F.col("width")).otherwise(F.col("mixed")).alias("count"), large.alias("alone")))
     dealt = join_one(pieces, info, ["block", "piece"], "n", pieces.count())
     dealt = dealt.withColumn("part", (F.col("low") + F.pmod(F.xxhash64("node"), F.col("count"))).cast("int"))
     others = F.filter(F.sequence(F.lit(0), F.col("chunks") - 1), lambda k: ~F.col("alone") | (k < F.col("low")) | (k >= F.col("low") + F.col("count")))
@@ -223,7 +223,7 @@ def piece_links(texts: Callable[[DataFrame], DataFrame], pieces: DataFrame, word
 
     keys = ["block", "low", "high"]
     placed = texts(pieces.select("node")).join(moved(cells), "node").select(*keys, "part", "node", "piece", "text").repartition(*keys).sortWithinPartitions(*keys, "part", "node")
-    return materialise(map_batches(placed, compare, "a long, b long").distinct())
+    return settled(map_batches(placed, compare, "a long, b long").distinct())
 
 
 def links(texts: Callable[[DataFrame], DataFrame], nodes: DataFrame, count: int, words: int, chunk: int) -> DataFrame:
@@ -231,11 +231,11 @@ def links(texts: Callable[[DataFrame], DataFrame], nodes: DataFrame, count: int,
     near, votes = _near(nodes, count), _votes(nodes, count)
     stars = star_links(texts, near, votes, words, chunk)
     candidates = near.toDF("a", "b").unionByName(votes.select(F.col("node").alias("a"), F.col("least").alias("b")))
-    blocks = components(candidates).select("node", F.col("root").alias("block"))
-    linked = components(stars).select("node", F.col("root").alias("piece"))
-    pieces = materialise(blocks.join(moved(linked), "node", "left").select("node", "block", F.coalesce("piece", "node").alias("piece")))
+    blocks = components(candidates, keep=settled).select("node", F.col("root").alias("block"))
+    linked = components(stars, keep=settled).select("node", F.col("root").alias("piece"))
+    pieces = settled(blocks.join(moved(linked), "node", "left").select("node", "block", F.coalesce("piece", "node").alias("piece")))
     open_ = pieces.groupBy("block").agg(F.min("piece").alias("low"), F.max("piece").alias("high"), F.count(F.lit(1)).alias("members")).where("low <> high").select("block", "members")
-    rest = materialise(join_one(pieces, materialise(open_), ["block"], "members", count))
+    rest = settled(join_one(pieces, settled(open_), ["block"], "members", count))
     return stars if rest.isEmpty() else stars.unionByName(piece_links(texts, rest, words, chunk))
 
 
@@ -254,26 +254,26 @@ def keep_first(documents: DataFrame, words: int = 5, chunk: int = 1024, id_colum
     named, file, place = numbered(documents, "near")
     text = F.col(text_column).cast("string")
     rows = named.select(F.col(id_column).cast("long").alias("doc_id"), name_of(text).alias("name"), text.alias("text"), F.col(file).alias("file"), F.col(place).alias("place"))
-    prints = materialise(map_batches(rows, keyed, "doc_id long, name binary, file long, place long, bits long, keys array<long>"))
+    prints = settled(map_batches(rows, keyed, "doc_id long, name binary, file long, place long, bits long, keys array<long>"))
     order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "name", "file", "place")
     distinct = prints.groupBy("name").agg(F.first("bits").alias("bits"), F.first("keys").alias("keys"), F.min(order).alias("first"), F.count(F.lit(1)).alias("copies"))
     # a number for each different text, written down with it
-    nodes = materialise(distinct.select(F.monotonically_increasing_id().alias("node"), "bits", "keys", "first", "copies"))
+    nodes = settled(distinct.select(F.monotonically_increasing_id().alias("node"), "bits", "keys", "first", "copies"))
     size = nodes.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("copies"), F.lit(0)).alias("rows")).first()
 
     def texts(wanted: DataFrame) -> DataFrame:
         """(node, text): texts of one node are equal, so the first row of each stands for all."""
-        chosen = materialise(nodes.join(moved(wanted), "node", "left_semi").select("node", F.col("first.file").alias("file"), F.col("first.place").alias("place")))
+        chosen = settled(nodes.join(moved(wanted), "node", "left_semi").select("node", F.col("first.file").alias("file"), F.col("first.place").alias("place")))
         side = F.broadcast(chosen) if chosen.count() <= BROADCAST_ROWS else moved(chosen)
         return rows.select("file", "place", "text").join(side, ["file", "place"]).select("node", "text")
 
-    groups = materialise(components(links(texts, nodes, size["n"], words, chunk)))
+    groups = settled(components(links(texts, nodes, size["n"], words, chunk), keep=settled))
     grouped = nodes.join(moved(groups), "node").select("root", "first")
-    best = materialise(grouped.groupBy("root").agg(F.min("first").alias("best"), F.count(F.lit(1)).alias("members")))
+    best = settled(grouped.groupBy("root").agg(F.min("first").alias("best"), F.count(F.lit(1)).alias("members")))
     others = join_one(grouped, best, ["root"], "members", size["n"]).where("first <> best").select("first.file", "first.place")
-    twice = materialise(nodes.where("copies > 1").select(F.col("first.name").alias("name"), "copies", F.col("first.file").alias("own_file"), F.col("first.place").alias("own_place")))
+    twice = settled(nodes.where("copies > 1").select(F.col("first.name").alias("name"), "copies", F.col("first.file").alias("own_file"), F.col("first.place").alias("own_place")))
     leave = others
     if not twice.isEmpty():
         again = join_one(prints.select("name", "file", "place"), twice, ["name"], "copies", size["rows"])
         leave = others.unionByName(again.where("file <> own_file OR place <> own_place").select("file", "place"))
-    return without_rows(named, file, place, materialise(leave))
+    return without_rows(named, file, place, settled(leave))

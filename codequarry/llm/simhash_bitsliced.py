@@ -28,7 +28,7 @@ repeated rows stay repeated; only the two named columns are read.
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -279,7 +279,7 @@ def link(distinct: DataFrame, radius: int = 4, chunk: int = 4096) -> DataFrame:
     return map_batches(placed, compare, "a long, b long").distinct()
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, most_rounds: int = 60, keep: Callable[[DataFrame], DataFrame] = materialise) -> DataFrame:
     """(node, root): the least node that each node of an edge list (a, b) reaches.
 
     Edges point from the greater node to the smaller.  A large-star step sends
@@ -287,23 +287,24 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     that stand at both ends of edges change anything, so only their edges meet
     them.  A small-star step joins all smaller neighbours of a node to the least;
     only nodes with several change anything.  Both end when all edges are stars.
-    ``most_rounds`` only guards against a table that changes under the job.
+    ``most_rounds`` only guards against a table that changes under the job, and
+    ``keep`` writes down the table of a step.
     """
-    edges = materialise(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    edges = keep(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     count = edges.count()  # no step makes more of them
     for _ in range(most_rounds):
         least = edges.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"))
         hubs = edges.groupBy(F.col("b").alias("u")).agg(F.count(F.lit(1)).alias("degree"))
-        chained = materialise(hubs.join(moved(least), "u"))
+        chained = keep(hubs.join(moved(least), "u"))
         passed = chained.isEmpty()
         if not passed:
             sent = join_one(edges.withColumnRenamed("b", "u"), chained, ["u"], "degree", count, "left")
-            edges = materialise(sent.select("a", F.coalesce("m", "u").alias("b")).distinct())
-        several = materialise(edges.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("degree")).where("degree > 1"))
+            edges = keep(sent.select("a", F.coalesce("m", "u").alias("b")).distinct())
+        several = keep(edges.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("degree")).where("degree > 1"))
         if not several.isEmpty():
             met = join_one(edges, several, ["a"], "degree", count, "left")
             stay = met.where("m IS NULL OR m = b").select("a", "b")
-            edges = materialise(stay.unionByName(met.where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))).distinct())
+            edges = keep(stay.unionByName(met.where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))).distinct())
         elif passed:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
     raise RuntimeError("the links did not settle")

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import random
+import re
+import time
 
 import numpy as np
 
@@ -113,3 +115,23 @@ def test_simhash_names_candidates(spark, monkeypatch):
     frame = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
     found = {r.doc_id for r in corpus_pipeline.near_dedup(spark, frame, "unused").collect()}
     assert found == {r[0] for r in rows if r[2]}
+
+
+def test_files_of_finished_steps_are_removed(spark, monkeypatch):
+    """The shuffle files of a step go as soon as its table is written, whether the driver collects garbage or not."""
+    rng = random.Random(13)
+    base = [f"w{k}" for k in range(100)]
+    frame = spark.createDataFrame([(k, " ".join(edited(base, 1, rng))) for k in range(100)], "doc_id long, text string")
+    context, disk = spark.sparkContext._jsc.sc(), spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    first, frames, write = context.newShuffleId(), [], type(frame).checkpoint
+    monkeypatch.setattr(type(frame), "checkpoint", lambda self, *a, **b: frames.append(self) or write(self, *a, **b))  # none is garbage
+
+    def held() -> int:
+        return len({n for n in map(int, re.findall(r"\bshuffle_(\d+)_", disk.getAllFiles().mkString(" "))) if n > first})
+
+    made = near_jaccard.keep_first(frame)
+    steps, until = context.newShuffleId() - first, time.monotonic() + 10
+    while held() > steps // 4 and time.monotonic() < until:
+        time.sleep(0.2)
+    assert steps > 40 and held() <= steps // 4
+    assert made.count() == 1
