@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codequarry.functions import paths
+from codequarry.operators.shared import apart
 
 
 def module_index(files: DataFrame) -> DataFrame:
@@ -18,12 +19,12 @@ def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
     """Adds requested_modules, status, target_path and candidate_paths to the imports of python files."""
     # a file's package is found once, not once for each of its imports
     python = files.where("language = 'python'").select("path").distinct().withColumn("__package", paths.package_name(F.col("path")))
-    asked = imports.join(python, "path")
+    asked = imports.join(apart(python), "path")
     invalid = paths.invalid_relative(F.col("level"), F.col("__package"))
     asked = asked.withColumn("__invalid", invalid)
     module = paths.requested_module(F.col("level"), F.col("module"), F.col("imported_name"), F.col("__package"))
     asked = asked.withColumn("__module", F.when(~F.col("__invalid") & (module != ""), module))
-    found = asked.join(module_index(files).withColumnRenamed("module", "__known"), F.col("__module") == F.col("__known"), "left")
+    found = asked.join(apart(module_index(files)).withColumnRenamed("module", "__known"), F.col("__module") == F.col("__known"), "left")
     empty = F.array().cast("array<string>")
     candidates = F.coalesce("module_paths", empty)
     status = (

@@ -13,7 +13,7 @@ from codequarry.functions.language import language_of
 from codequarry.functions.paths import policy_path
 from codequarry.operators import calls as call_rules
 from codequarry.operators import config, ignore, imports, reading
-from codequarry.operators.shared import materialise
+from codequarry.operators.shared import apart, materialise
 from codequarry.plans import reports
 from codequarry.sources import facts, tree
 
@@ -71,7 +71,7 @@ def trace(files: DataFrame) -> Trace:
     found = materialise(facts.facts(files))
     resolved = materialise(imports.resolve_imports(facts.relation(found, "imports"), files.select("path", "language")))
     decided = call_rules.resolve_calls(found, resolved)
-    of_calls = facts.relation(found, "calls").drop("dynamic_kind").join(decided, ["path", "ord"])
+    of_calls = facts.relation(found, "calls").drop("dynamic_kind").join(apart(decided), ["path", "ord"])
     return Trace(files, found, resolved, materialise(of_calls))
 
 

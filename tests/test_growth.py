@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from codequarry.operators import calls, shared
+from codequarry.plans import bindings, cases, evidence, run
 from codequarry.sources import facts
 
 
@@ -15,3 +17,17 @@ def test_one_split_of_files_is_parsed_by_many_tasks(spark):
 
 def test_tasks_of_a_parse_are_bounded():
     assert [facts.parts(n, 8) for n in (0, 1, 500, 501, 10_000, 10_000_000)] == [1, 1, 1, 2, 20, 500]
+
+
+def test_no_table_of_a_trace_passes_the_driver(spark, sf_dir, monkeypatch):
+    plans = []
+
+    def seen(frame):
+        plans.append(frame._jdf.queryExecution().executedPlan().toString())
+        return shared.materialise(frame)
+
+    for module in (calls, run):
+        monkeypatch.setattr(module, "materialise", seen)
+    made = run.trace(evidence._sources(spark, sf_dir, bindings.sources_sql(cases.CASES)))
+    assert made.calls.count() > 100 and len(plans) > 15
+    assert not [p for p in plans if "Broadcast" in p]
