@@ -15,6 +15,16 @@ def test_one_split_of_files_is_parsed_by_many_tasks(spark):
     assert len(names) == 4 * facts.LEAST_FILES and all(n.same for n in names)
 
 
+def test_copies_of_a_small_text_are_walked_once(monkeypatch):
+    walked, walk = [], facts.Walk
+    monkeypatch.setattr(facts, "Walk", lambda tree: walked.append(1) or walk(tree))
+    facts._parsed_small.cache_clear()
+    small, large = "def f(): return g()\n", "def f(): return g()\n" + "#" * facts.SMALL
+    found = [facts.file_facts(path, "python", "text", text) for path in ("a.py", "b.py") for text in (small, large, "def (\n")]
+    assert [(r["path"], r["status"]) for r in found] == [(p, s) for p in ("a.py", "b.py") for s in ("parsed", "parsed", "syntax_error")]
+    assert all({**a, "path": ""} == {**b, "path": ""} for a, b in zip(found[:3], found[3:], strict=True)) and len(walked) == 3
+
+
 def test_tasks_of_a_parse_are_bounded():
     assert [facts.parts(n, 8) for n in (0, 1, 500, 501, 10_000, 10_000_000)] == [1, 1, 1, 2, 20, 500]
 
