@@ -69,7 +69,7 @@ class Trace:
 def trace(files: DataFrame) -> Trace:
     """Facts, resolved imports and resolved calls of (path, language, status, content)."""
     found = materialise(facts.facts(files))
-    resolved = materialise(imports.resolve_imports(facts.relation(found, "imports"), files.select("path", "language")))
+    resolved = materialise(imports.resolve_imports(facts.relation(found, "imports"), apart(files.select("path", "language"))))
     decided = call_rules.resolve_calls(found, resolved)
     of_calls = facts.relation(found, "calls").drop("dynamic_kind").join(apart(decided), ["path", "ord"])
     return Trace(files, found, resolved, materialise(of_calls))
