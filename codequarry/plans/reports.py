@@ -6,6 +6,7 @@ single file, when one is asked for, partition by partition.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterable, Iterator
 from pathlib import Path
 
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from codequarry.functions.language import fence_label
 from codequarry.functions.text import section
 from codequarry.operators import graph
+from codequarry.operators.shared import materialise
 
 INDENT = "│   "
 MODULE = "<module>"
@@ -98,12 +100,12 @@ def trace_lines(files: DataFrame, imports: DataFrame, calls: DataFrame) -> DataF
     heads = [(k, line) for k, (title, _) in enumerate(parts) for line in ([["# Dependency Trace", ""], [""]][min(k, 1)] + [f"## {title}", ""])]
     rows = ", ".join(f"({k}, {n}, '{line}')" for n, (k, line) in enumerate(heads))
     fixed = spark.sql(f"SELECT section, array('', lpad(cast(n AS string), 10, '0')) AS key, line FROM VALUES {rows} AS t(section, n, line)")
-    out = fixed
-    for k, (_, body) in enumerate(parts):
-        keyed = body.select(F.lit(k).alias("section"), F.concat(F.array(F.lit("1")), F.col("key")).alias("key"), "line")
-        none = body.agg(F.count(F.lit(1)).alias("n")).where("n = 0").select(F.lit(k).alias("section"), F.array(F.lit("1")).alias("key"), F.lit("- None.").alias("line"))
-        out = out.unionByName(keyed).unionByName(none)
-    return out
+    bodies = [body.select(F.lit(k).alias("section"), F.concat(F.array(F.lit("1")), F.col("key")).alias("key"), "line") for k, (_, body) in enumerate(parts)]
+    # written once: which sections are empty is read off the lines, not off what they were made of
+    lines = materialise(functools.reduce(DataFrame.unionByName, bodies))
+    sections = spark.sql("SELECT section FROM VALUES " + ", ".join(f"({k})" for k in range(len(parts))) + " AS t(section)")
+    none = sections.join(lines.select("section").distinct(), "section", "left_anti").select("section", F.array(F.lit("1")).alias("key"), F.lit("- None.").alias("line"))
+    return fixed.unionByName(lines).unionByName(none)
 
 
 def files_key(path: str) -> Column:

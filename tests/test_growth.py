@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from codequarry.operators import calls, shared
-from codequarry.plans import bindings, cases, evidence, run
+from codequarry.plans import bindings, cases, evidence, reports, run
 from codequarry.sources import facts
 
 
@@ -41,3 +41,16 @@ def test_no_table_of_a_trace_passes_the_driver(spark, sf_dir, monkeypatch):
     made = run.trace(evidence._sources(spark, sf_dir, bindings.sources_sql(cases.CASES)))
     assert made.calls.count() > 100 and len(plans) > 15
     assert not [p for p in plans if "Broadcast" in p]
+
+
+def test_a_report_is_made_of_lines_written_once(spark):
+    files = spark.createDataFrame([("a.py",)], "path string")
+    at = "path string, ord int, line int, scope string, status string"
+    asked = spark.createDataFrame([], f"{at}, target_path string, requested_modules array<string>, candidate_paths array<string>")
+    target = "struct<source_path:string,line:int,qualified_name:string,kind:string>"
+    called = spark.createDataFrame([("a.py", 0, 1, None, "unresolved", None, ["f"], [], None, None)], f"{at}, resolved_target {target}, target_parts array<string>, candidate_targets array<{target}>, shadowed_by string, dynamic_kind string")
+    made = reports.trace_lines(files, asked, called)
+    plan = made._jdf.queryExecution().analyzed().toString()
+    assert "LogicalRDD" not in plan and plan.count(" parquet") == 2  # nothing but the written lines, twice
+    lines = {(r.section, r.line) for r in made.collect()}
+    assert {k for k, line in lines if line == "- None."} == set(range(1, 12)) - {9} and (9, "- `a.py`:1 `f` (scope `<module>`)") in lines
